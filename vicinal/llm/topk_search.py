@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .runtime import materialise
 
 #: Depths, as shares of a list, at which the bounds are looked at.
-DEPTHS = (0.15, 0.4, 0.7)
+DEPTHS = (0.5, 0.75, 0.875, 0.9375)
 
 
 def _score_type(q: np.ndarray, x: np.ndarray) -> type:
