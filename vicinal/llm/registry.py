@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import topk_search
+from . import fingerprints, packing, topk_search, warc
 from .runtime import table
 
 
@@ -33,9 +33,50 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
+def op7_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    made = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path or default_tokenizer())
+    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages),
+h AS (
+  SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS hex,
+         min(page_id) OVER (PARTITION BY sha1(payload)) AS first_id FROM p),
+d AS (
+  SELECT *, array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST((CAST('0x' || substr(hex, CAST(i * 5 + 1 AS INT), 5) AS BIGINT) // CAST(pow(32, 3 - k) AS BIGINT)) % 32 + 1 AS INT), 1)), '')), '') AS payload_digest FROM h)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM d
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_topk": op1_exact_topk}
+    return {"op1_exact_topk": op1_exact_topk, "op2_fingerprints": op2_fingerprints, "op7_packing": op7_packing, "op8_warc": op8_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op8_warc": OP8_SQL}
