@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, packing, topk_search, warc
+from . import fingerprints, packing, substring_dedup, topk_search, warc
 from .runtime import table
 
 
@@ -74,8 +74,14 @@ FROM d
 """
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = substring_dedup.remove_repeats(docs, window=35)
+    return made.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join("kept_words", " ").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_topk": op1_exact_topk, "op2_fingerprints": op2_fingerprints, "op7_packing": op7_packing, "op8_warc": op8_warc}
+    return {"op1_exact_topk": op1_exact_topk, "op2_fingerprints": op2_fingerprints, "op7_packing": op7_packing, "op8_warc": op8_warc, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
