@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, packing, substring_dedup, topk_search, warc
+from . import fingerprints, packing, quality_cnn, substring_dedup, topk_search, warc
 from .runtime import table
 
 
@@ -74,6 +74,13 @@ FROM d
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = quality_cnn.quality_scores(docs, table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return made.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = substring_dedup.remove_repeats(docs, window=35)
@@ -81,7 +88,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_topk": op1_exact_topk, "op2_fingerprints": op2_fingerprints, "op7_packing": op7_packing, "op8_warc": op8_warc, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_exact_topk": op1_exact_topk, "op2_fingerprints": op2_fingerprints, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
