@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, mixing, packing, quality_cnn, substring_dedup, topk_search, warc
+from . import fingerprints, language_id, license_scan, mixing, packing, quality_cnn, substring_dedup, topk_search, warc
 from .runtime import table
 
 
@@ -45,6 +45,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sure = F.filter("hits", lambda h: h["confirmed"])
+    best = F.element_at(F.array_sort(sure, lambda a, b: F.when(a["probability"] > b["probability"], -1).when(a["probability"] < b["probability"], 1).otherwise(0)), 1)
+    made = made.withColumn("best", F.when(F.size(sure) > 0, best))
+    return made.select(
+        "doc_id", "n_paragraphs", F.size("hits").alias("n_hits"), F.size(sure).alias("n_confirmed"), F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda h: h["family"]))), ",").alias("families"),
+        F.col("best.family").alias("best_family"), F.col("best.probability").alias("best_probability"), F.col("best.similarity").alias("best_similarity"),
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return made.select("doc_id", "tokens", *[F.element_at("posterior", i + 1).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)], "rate")
@@ -97,7 +108,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_topk": op1_exact_topk, "op2_fingerprints": op2_fingerprints, "op4_language_id": op4_language_id, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_exact_topk": op1_exact_topk, "op2_fingerprints": op2_fingerprints, "op4_language_id": op4_language_id, "op5_license_scan": op5_license_scan, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
