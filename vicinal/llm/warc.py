@@ -14,6 +14,7 @@ the chain reaches, so a record head inside a payload is never taken for one.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -61,11 +62,12 @@ def classified(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, compressed: bool = True) -> None:
     """One record per row of pages (page_id, url, html; further columns are left alone) under path.
 
     Heads give page ids as urn:page:<id>; control characters in a url are
-    percent-encoded. Repeated rows give repeated records.
+    percent-encoded. Repeated rows give repeated records. Archives are gzip files
+    unless compressed is False; offsets count in what they hold.
     """
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     block = F.when(F.col("record_type") == "revisit", http).otherwise(F.concat(http, F.col("payload")))
@@ -76,7 +78,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
         F.lit(f"\r\nWARC-Date: {WARC_DATE}\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\n"), urn("WARC-Refers-To", F.col("refers_to")),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length("block").cast("string"), F.lit(END), F.col("block"),
     )
-    classified(pages, min_bytes).withColumn("block", block).select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    classified(pages, min_bytes).withColumn("block", block).select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path, compression="gzip" if compressed else "none")
 
 
 def candidates(content: bytes) -> Iterator[tuple[int, int, dict[bytes, bytes], bytes]]:
@@ -128,6 +130,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 content, rows = content.as_py(), []
+                if content[:2] == b"\x1f\x8b":
+                    content = gzip.decompress(content)
                 for offset, successor, head, block in candidates(content):
                     http, _, payload = block.partition(END.encode())
                     declared = head.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode()
