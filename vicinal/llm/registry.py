@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, license_scan, mixing, packing, quality_cnn, substring_dedup, topk_search, warc
+from . import fingerprints, language_id, license_scan, mixing, ngram_join, packing, quality_cnn, substring_dedup, topk_search, warc
 from .runtime import table
 
 
@@ -41,6 +41,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
@@ -108,7 +112,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_topk": op1_exact_topk, "op2_fingerprints": op2_fingerprints, "op4_language_id": op4_language_id, "op5_license_scan": op5_license_scan, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_exact_topk": op1_exact_topk, "op2_fingerprints": op2_fingerprints, "op3_ngram_join": op3_ngram_join, "op4_language_id": op4_language_id, "op5_license_scan": op5_license_scan, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

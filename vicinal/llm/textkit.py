@@ -149,7 +149,8 @@ def gram_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarr
 
 def unique_per_doc(values: np.ndarray, docs: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of each document in ascending order, and their bounds."""
-    order = np.lexsort((values, docs))
+    order = np.argsort(values)
+    order = order[np.argsort(docs[order].astype(np.uint16 if n_docs < 1 << 16 else np.int64), kind="stable")]
     v, d = values[order], docs[order]
     keep = np.ones(len(v), dtype=bool)
     keep[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
