@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import fingerprints, language_id, license_scan, mixing, ngram_join, packing, quality_cnn, substring_dedup, topk_search, warc
-from .runtime import table
+from .runtime import default_tokenizer, table
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +72,6 @@ def op7_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -112,7 +108,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_topk": op1_exact_topk, "op2_fingerprints": op2_fingerprints, "op3_ngram_join": op3_ngram_join, "op4_language_id": op4_language_id, "op5_license_scan": op5_license_scan, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_exact_topk": op1_exact_topk, "op2_fingerprints": op2_fingerprints, "op3_ngram_join": op3_ngram_join, "op4_language_id": op4_language_id, "op5_license_scan": op5_license_scan, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_substring_dedup": op10_substring_dedup, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -45,3 +45,10 @@ def parallelism(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def default_tokenizer() -> str:
+    """The vocabulary file that queries use unless they are given another."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
