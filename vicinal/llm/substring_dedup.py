@@ -28,9 +28,9 @@ from .runtime import parallelism
 from .textkit import Words, buffer_of, mix64, slices, span_hashes
 
 #: Words of a minimiser.
-MINIMISER = 6
+MINIMISER = 3
 #: Bytes of text whose windows a task counts at once.
-SLICE = 4 << 20
+SLICE = 3 << 20
 
 
 def _window_hashes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,11 +88,11 @@ def repeated_windows(docs: DataFrame, window: int, key_cols: tuple[str, ...], te
     a run of repeated windows. A document can have several rows.
     """
     spark = docs.sparkSession
-    n_buckets = 4 * parallelism(spark)
+    n_buckets = 6 * parallelism(spark)
     key_fields = ", ".join(f"{k} {t}" for k, t in docs.select(*key_cols).dtypes)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=6)
         names = ["bucket", "load", *key_cols, "spans"]
 
         for batch in batches:
@@ -152,8 +152,8 @@ def repeated_windows(docs: DataFrame, window: int, key_cols: tuple[str, ...], te
             kmer = np.searchsorted(words.bounds, heads, side="right") - 1
             one.append(x)
             two.append(y)
-            of.append(base + info[kmer, 0])
-            place.append(info[kmer, 1] + heads - words.bounds[kmer])
+            of.append((base + info[kmer, 0]).astype(np.int32))
+            place.append((info[kmer, 1] + heads - words.bounds[kmer]).astype(np.int32))
             known.append(info[kmer, 2] != 0)
             owners.append(own)
             base += own.num_rows
@@ -163,7 +163,7 @@ def repeated_windows(docs: DataFrame, window: int, key_cols: tuple[str, ...], te
         hit = hit[~known[hit]]
         hit = hit[np.lexsort((place[hit], of[hit]))]
         width = int(place.max(initial=0)) + 2
-        lows, highs = _ranges(of[hit] * width + place[hit])
+        lows, highs = _ranges(of[hit].astype(np.int64) * width + place[hit])
         spans, rows = _packed(lows % width, highs % width, lows // width)
         all_owners = pa.Table.from_batches(owners).combine_chunks()
         found = pa.table([*all_owners.take(pa.array(rows)).columns, pa.array(spans, pa.binary())], names=[*key_cols, "spans"])
