@@ -21,7 +21,7 @@ from .runtime import materialise
 from .textkit import slices
 
 #: Hash buckets of character trigrams, and labelled texts a language learns from at most.
-BUCKETS, SAMPLE_ROWS = 1 << 14, 1500
+BUCKETS, SAMPLE_ROWS = 1 << 14, 1000
 #: Weight of one trigram's log likelihood, and the most that a text's evidence may weigh.
 TEMPER, TEXT_CAP = 0.25, 12.0
 #: Chance that a declared language, or a suffix that names one, is right.
