@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise
+from .runtime import materialise, release
 
 
 def _largest(edges: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         now = materialise(_smallest(_largest(now)), "edges")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("g", "u", "v") % 1000003).alias("h")).first()
+        release(now.sparkSession)
         if last == (seen.n, seen.h):
             roots = now.select("g", F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             return now.select("g", F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -11,7 +11,9 @@ links with nothing. Of what occurs elsewhere, each of several orders (rare
 shingles first, in classes of different width, ties by different hashes) again
 has a prefix in which two nodes that link must meet. Nodes that meet, directly
 or by way of others, under one order have one label of that order; two nodes are
-compared only if all their labels agree, which intersects the filters.
+compared only if all their labels agree, which intersects the filters. Sizes of
+sets that link differ by a bounded factor: labels are drawn up within classes of
+size, of which a node is in its own and the next, so that chains end early.
 
 Groups that are left are compared exactly, in blocks of bounded size; a task
 returns a spanning forest of the links it finds, never all pairs.
@@ -19,6 +21,7 @@ returns a spanning forest of the links it finds, never all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .runtime import materialise, parallelism
+from .runtime import materialise, parallelism, release
 from .textkit import Words, gram_hashes, mix64, slices, unique_per_doc
 
 #: One shingle in so many by which samples are longer than a plain prefix.
-SURPLUS = 40
+SURPLUS = 16
 #: Orders under which nodes must meet, and nodes of a block.
-ORDERS, BLOCK = 3, 512
+ORDERS, BLOCK = 3, 1024
+#: More than there are classes of size.
+CLASSES = 1_000_000
 #: Sets that a task remembers to have sent a sample of.
 REMEMBERED = 200_000
 
@@ -107,7 +112,7 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _candidates(samples: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """g, u, v: for each order, every node of a prefix token and the least node of that token."""
+    """g, u, v: for each order and class of size, every node of a prefix token and the least node of that token."""
     shared = samples.groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df")
     met = samples.join(shared, "token").groupBy("s1").agg(F.collect_set(F.struct("df", "token")).alias("k"))
     need = F.lit(1) + F.floor(F.floor((F.lit(num) * F.col("n") + F.lit(den - 1)) / F.lit(den)) / F.lit(SURPLUS))
@@ -117,15 +122,20 @@ def _candidates(samples: DataFrame, nodes: DataFrame, num: int, den: int) -> Dat
         lambda x: F.struct(F.floor(F.log2(x["df"].cast("double")) + F.lit(1e-9)).alias("c"), F.xxhash64(x["token"], F.lit(1)).alias("h"), x["token"].alias("t")),
         lambda x: F.struct(F.floor((F.floor(F.log2(x["df"].cast("double")) + F.lit(1e-9)) + 1) / 2).alias("c"), F.xxhash64(x["token"], F.lit(2)).alias("h"), x["token"].alias("t")),
     ]
-    prefix = lambda i: F.transform(F.slice(F.array_sort(F.transform("k", key[i])), F.lit(1), F.col("m")), lambda x: F.struct(F.lit(i).alias("g"), x["t"].alias("token")))
-    spread = materialise(kept.select("node", F.explode(F.concat(*[prefix(i) for i in range(ORDERS)])).alias("x")).select("x.g", "x.token", "node"), "prefixes")
+    # one class to another: the factor by which sizes of sets that link may differ, and a hair for rounding
+    size = F.floor(F.log(F.col("n").cast("double")) / (max(math.log(den / num), 1e-6) * (1 + 1e-9))).cast("int")
+    prefix = lambda i: F.slice(F.array_sort(F.transform("k", key[i])), F.lit(1), F.col("m"))
+    spot = lambda i, c: F.transform(prefix(i), lambda x: F.struct((F.lit(i * CLASSES + c) + size).alias("g"), x["t"].alias("token")))
+    spread = materialise(kept.select("node", F.explode(F.concat(*[spot(i, c) for i in range(ORDERS) for c in (0, 1)])).alias("x")).select("x.g", "x.token", "node"), "prefixes")
+    release(spread.sparkSession)
     least = spread.groupBy("g", "token").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w").select("g", "token", "v")
     return spread.join(least, ["g", "token"]).select("g", F.col("node").alias("u"), "v").where("u <> v").distinct()
 
 
 def _blocks(labels: DataFrame) -> DataFrame:
     """node, grp, blocks, block: groups of nodes all of whose labels agree, dealt to blocks."""
-    agreed = labels.groupBy("node").agg(F.count("*").alias("c"), F.sort_array(F.collect_list(F.struct("g", "root"))).alias("ls")).where(F.col("c") == ORDERS)
+    labels = labels.withColumn("size", F.col("g") % CLASSES)
+    agreed = labels.groupBy("node", "size").agg(F.count("*").alias("c"), F.sort_array(F.collect_list(F.struct("g", "root"))).alias("ls")).where(F.col("c") == ORDERS)
     named = agreed.select("node", F.xxhash64("ls").alias("grp"))
     sizes = named.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
     dealt = named.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -228,8 +238,9 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     whole = light.where("n > 0 AND doc_id IS NOT NULL")
     nodes = materialise(whole.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")), "nodes")
     edges = _candidates(_sampled(docs.where(F.col("doc_id").isNotNull()), k, num, den), nodes, num, den)
-    blocks = _blocks(connected_components(edges))
-    links = _verified(docs, materialise(blocks, "blocks"), nodes, k, num, den).select(F.lit(0).alias("g"), "u", "v")
+    blocks = materialise(_blocks(connected_components(edges)), "blocks")
+    release(docs.sparkSession)
+    links = _verified(docs, blocks, nodes, k, num, den).select(F.lit(0).alias("g"), "u", "v")
     roots = connected_components(links).select("node", "root")
     placed = nodes.join(roots, "node", "left").select("s1", "s2", "n", F.coalesce("root", "node").alias("root"))
     both = light.join(placed, ["s1", "s2", "n"], "left")

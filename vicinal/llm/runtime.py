@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -31,6 +32,16 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files that nothing refers to any more.
+
+    It learns of them when the driver's JVM collects garbage, which a long job
+    of many phases may not do before the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
