@@ -23,10 +23,17 @@ PASSAGE = 50
 ORACLE_SQL = None
 
 
+def _apart(docs: DataFrame, *taken: str):
+    """docs without clashes with the columns that an operator adds, and a function that gives docs' own columns back."""
+    own = {c: f"_own_{c}" for c in docs.columns if c.lower() in taken}
+    return docs.withColumnsRenamed(own), lambda df: df.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least LEAST_QUALITY."""
+    docs, back = _apart(docs, "score")
     scored = quality_cnn.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    return back(scored.where(F.col("score") >= LEAST_QUALITY))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +47,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A text that loses nothing stays as it is; else its kept words are joined by
     one blank. A document that loses all its words stays, with an empty text.
     """
+    docs, back = _apart(docs, "kept_words", "n_words", "n_removed")
     made = substring_dedup.remove_repeats(docs, window=PASSAGE)
     text = F.when(F.col("n_removed") > 0, F.array_join("kept_words", " ")).otherwise(F.col("text"))
     made = made.withColumn("text", text)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return made.select(*docs.columns)
+    return back(made)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,7 +91,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprint_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a column fingerprint (string) of the whole text; null counts as empty."""
+    """docs with a column fingerprint (string) of the whole text; null counts as empty, a column of that name is replaced."""
+    docs = docs.drop("fingerprint")
     schema = docs.select("*", F.lit("").alias("fingerprint")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

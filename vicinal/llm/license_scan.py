@@ -211,7 +211,9 @@ def scan(docs: DataFrame, text_col: str = "text", model: dict | None = None) ->
     template found in it, and whether that confirms it. Overlapping windows of
     one paragraph that name the same family give one hit, the most probable.
     Null and empty texts have no paragraphs; repeated rows are scanned each.
+    Columns of docs with the names of the new ones are replaced.
     """
+    docs = docs.drop("n_paragraphs", "hits")
     packed = pickle.dumps(model or fit())
     schema = docs.select("*", F.lit(0).cast("int").alias("n_paragraphs"), F.lit(None).cast(f"array<{HIT}>").alias("hits")).schema
     hit_type = pa.struct([("paragraph", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())])

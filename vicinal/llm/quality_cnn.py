@@ -161,7 +161,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str =
 
 
 def score_documents(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """docs with a column score: the network's probability of label 1."""
+    """docs with a column score, the network's probability of label 1; a column of that name is replaced."""
+    docs = docs.drop("score")
     weights = pickle.dumps(net.p)
     schema = docs.select("*", F.lit(0.0).alias("score")).schema
 

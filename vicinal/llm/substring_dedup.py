@@ -217,8 +217,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     else too, in the same document included. Windows are judged on the texts as
     they came. Null and empty texts, and those shorter than a window, keep all
     their words; repeated rows are each other's repeats, so that all their
-    windows go.
+    windows go. Columns of docs with the names of the new ones are replaced.
     """
+    docs = docs.drop("kept_words", "n_words", "n_removed")
     keyed = docs.withColumn("_vk_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     keys = (id_col, "_vk_text")
     spans = repeated_windows(keyed, window, keys, text_col).groupBy(*keys).agg(F.collect_list("spans").alias("_vk_spans"))
