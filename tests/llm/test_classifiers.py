@@ -113,12 +113,12 @@ def test_language_fusion(spark):
         said = lang if i % 5 else "en"  # wrong at times
         pages.append((i, f"https://www.h{i % 6}.example.{'de' if lang == 'de' else 'org'}/p?q=1", f'<html lang="{said}"><script>the of and</script><body><p>{_lang(rng, lang, 50)}</p></body></html>'))
         want[i] = lang
-    pages += [(100, "http://h1.example.org/", "<p>12 34</p>"), (101, None, None), (102, "nonsense", ""), (0, *pages[0][1:]), (103, "http://x.example.de/", "")]
+    pages += [(100, "http://www.h2.example.org/", "<p>12 34</p>"), (101, None, None), (102, "nonsense", ""), (0, *pages[0][1:]), (103, "http://x.example.de/", "")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
     rows = language_id.identify(df, docs).collect()
     got = {r.page_id: r for r in rows}
     assert len(rows) == len(pages) and all(got[i].language == lang for i, lang in want.items())
-    assert got[100].language == want[1] and got[103].language == "de"  # by host, by suffix
+    assert got[100].language == want[2] and got[103].language == "de"  # by host, by suffix
     assert got[101].language in WORDS and 0 < got[101].probability <= 1
     assert language_id.identify(df.limit(0), docs).count() == 0
     assert language_id.identify(df.limit(2), docs.limit(0)).first().language == "und"

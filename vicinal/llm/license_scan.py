@@ -22,7 +22,7 @@ from .textkit import Words, mix64, slices, span_hashes
 
 BUCKETS, GRAMS = 1 << 16, (1, 2, 3)
 #: Words of a window in a long paragraph, and words from one window to the next.
-WINDOW, HOP = 48, 24
+WINDOW, HOP = 20, 8
 #: Least probability of a prediction and least share of a template's n-grams that confirms it.
 LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.6
 
@@ -126,8 +126,9 @@ def _examples(seed: int) -> tuple[list[str], np.ndarray]:
         for name in NAMES[family]:
             for frame in FRAMES:
                 line = frame.format(name)
-                texts += [line, f"{noise()} {line}", f"{line} {noise()}", line.upper() if rng.random() < 0.5 else line.lower()]
-                y += [c] * 4
+                around = [" ".join(noise() for _ in range(rng.integers(1, 4))) for _ in range(2)]
+                texts += [line, f"{noise()} {line}", f"{line} {noise()}", line.upper() if rng.random() < 0.5 else line.lower(), f"{around[0]} {line} {around[1]}"]
+                y += [c] * 5
         for sentence in SENTENCES.get(family, ()):
             for _ in range(12):
                 words = sentence.split()
