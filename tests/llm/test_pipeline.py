@@ -68,7 +68,8 @@ def test_stages_match_plain_python(spark, tables):
     assert all(n == copies[i] * t for (i, t), n in total.items()) and {i for i, _ in total} == set(copies)
 
 
-def test_run_and_registry(spark, tables):
+def test_run_and_registry(spark, tables, monkeypatch):
+    monkeypatch.setattr(pipeline, "STAGES", [pipeline.STAGES[2], pipeline.STAGES[4]])  # the others are run above
     out = pipeline.run(spark, tables)
     assert out.count() > 0 and out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     names = registry.queries()

@@ -23,6 +23,8 @@ from .runtime import materialise
 
 #: Domains: quality and toxicity of the labelled table.
 DOMAINS = ("low_clean", "low_toxic", "high_clean", "high_toxic")
+#: The domain that `mix` never thins.
+KEPT = "high_clean"
 #: Share of tokens that each domain is to have.
 TARGETS = (0.04, 0.01, 0.91, 0.04)
 #: Labelled rows from which marker words are learned at most, and the words kept.
@@ -100,9 +102,9 @@ def posteriors(priors: list[float], tables: dict[str, list[list[float]]]) -> Col
 
 
 def _solve(a: list[list[float]], b: list[float]) -> list[float]:
-    """Solution of a small symmetric positive definite system, with a slight ridge."""
+    """Solution of a small symmetric system, with a ridge that keeps rates tame when a domain is next to absent."""
     n = len(b)
-    ridge = 1e-9 * max(sum(a[i][i] for i in range(n)), 1e-30)
+    ridge = 1e-3 * max(sum(a[i][i] for i in range(n)), 1e-30)
     m = [[*(a[i][j] + ridge * (i == j) for j in range(n)), b[i]] for i in range(n)]
     for i in range(n):
         p = max(range(i, n), key=lambda r: abs(m[r][i]))
@@ -173,8 +175,10 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...]
 
 def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """docs with each row as often as its rate says: the whole part of it, and once more for
-    the share of ids whose hash is below the rest. Columns are those of docs."""
-    rates = mixing_rates(docs, labels, targets).select("doc_id", "rate").groupBy(F.col("doc_id").alias("_vm_id")).agg(F.max("rate").alias("_vm_rate"))
+    the share of ids whose hash is below the rest. A row that is likeliest of the domain
+    KEPT stays at least once, so that no mix thins clean documents. Columns are those of docs."""
+    clean = F.array_position("posterior", F.array_max("posterior")) == DOMAINS.index(KEPT) + 1
+    rates = mixing_rates(docs, labels, targets).select("doc_id", F.when(clean, F.greatest("rate", F.lit(1.0))).otherwise(F.col("rate")).alias("rate")).groupBy(F.col("doc_id").alias("_vm_id")).agg(F.max("rate").alias("_vm_rate"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor("_vm_rate") + F.when(chance < F.col("_vm_rate") - F.floor("_vm_rate"), 1).otherwise(0)
     both = docs.join(rates, F.col("doc_id").eqNullSafe(F.col("_vm_id")))

@@ -24,7 +24,7 @@ CHUNK, STEP = 512, 384
 STRIDE, SPAN = 4, 3
 EMBED, FILTERS, HIDDEN = 8, 64, 32
 #: Chunks of one pass through the network.
-PASS = 256
+PASS = 128
 
 
 def chunk_matrix(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +138,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 11,
 def score_column(net: Network, column: pa.Array) -> np.ndarray:
     """Probability of label 1 of every text of a string column; null counts as empty."""
     out = np.empty(len(column))
-    for a, b, buf, offs in slices(column, 1 << 20):
+    for a, b, buf, offs in slices(column, 1 << 18):
         chunks, row = chunk_matrix(buf, offs)
         z = np.bincount(row, weights=net.evidence(chunks), minlength=b - a) / np.bincount(row, minlength=b - a)
         out[a:b] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))

@@ -30,7 +30,7 @@ from .textkit import Words, buffer_of, mix64, slices, span_hashes
 #: Words of a minimiser.
 MINIMISER = 3
 #: Bytes of text whose windows a task counts at once.
-SLICE = 3 << 20
+SLICE = 2 << 20
 
 
 def _window_hashes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

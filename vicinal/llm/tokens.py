@@ -17,7 +17,7 @@ import pyarrow as pa
 from .textkit import _BYTE_CODES, Words, slices, span_hashes
 
 #: Units kept by a worker at most; the table starts anew when it is full.
-UNITS_KEPT = 2_000_000
+UNITS_KEPT = 600_000
 # Fixed value: the pattern by which byte-level BPE files of this kind cut text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: UTF-8 of what Unicode, but not ASCII, counts as white space, and ASCII's separators.
