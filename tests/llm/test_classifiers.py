@@ -124,6 +124,16 @@ def test_language_fusion(spark):
     assert language_id.identify(df.limit(2), docs.limit(0)).first().language == "und"
 
 
+def test_language_sample_counts_distinct_texts(spark):
+    rng = random.Random(9)
+    texts = [_lang(rng, "en", 30) for _ in range(12)]
+    once = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
+    copied = spark.createDataFrame([("en", t) for t in texts for _ in range(50)], "lang string, text string")
+    (_, want), (_, got) = language_id.fit_text_model(once, 8), language_id.fit_text_model(copied, 8)
+    assert np.array_equal(got, want)  # eight texts, each once
+    assert not np.array_equal(want, language_id.fit_text_model(once, 7)[1])
+
+
 def _brute_rates(p, tokens, targets, rounds):
     """The same descent in plain numpy over documents."""
     total = tokens.sum()

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .runtime import materialise
 from .textkit import slices
 
-#: Hash buckets of character trigrams, and labelled texts a language learns from at most.
-BUCKETS, SAMPLE_ROWS = 1 << 14, 1000
+#: Hash buckets of character trigrams, and distinct labelled texts a language learns from at most.
+BUCKETS, SAMPLE_ROWS = 1 << 14, 1500
 #: Weight of one trigram's log likelihood, and the most that a text's evidence may weigh.
 TEMPER, TEXT_CAP = 0.25, 12.0
 #: Chance that a declared language, or a suffix that names one, is right.
@@ -58,13 +58,16 @@ def _trigrams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def fit_text_model(docs: DataFrame, rows: int = SAMPLE_ROWS, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages, and log likelihood (language, bucket) of trigrams, from a bounded sample of labelled texts.
 
-    The sample of a language are its texts with the smallest hashes. Rows with a
-    null language or text are left out.
+    The sample of a language are its distinct texts with the smallest hashes, one
+    row each, however many copies a text has. Rows with a null language or text
+    are left out.
     """
     good = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.lower(lang_col).alias("lang"), F.col(text_col).alias("text"))
     best = Window.partitionBy("lang").orderBy("h")
-    chosen = good.select("lang", F.xxhash64("text").alias("h")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= rows).select("lang", "h").distinct()
-    sample = good.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"], "left_semi")
+    chosen = good.select("lang", F.xxhash64("text").alias("h")).distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= rows).select("lang", "h")
+    copies = good.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"], "left_semi")
+    # equal hashes are equal texts but for a chance of 2^-64 a pair; the smallest is taken, so that order has no say
+    sample = copies.groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def count(table: pa.Table) -> pa.Table:
         total = np.zeros(BUCKETS, np.int64)
