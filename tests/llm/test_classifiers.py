@@ -149,6 +149,26 @@ def _brute_rates(p, tokens, targets, rounds):
     return r
 
 
+def _scarce():
+    """Cells of blurred posteriors over domains of which one is scarce."""
+    shares = np.array([0.005, 0.0005, 0.9745, 0.02])
+    tokens = shares.repeat(20) * np.random.default_rng(7).uniform(0.5, 1.5, 80) * 1e6
+    return np.eye(4).repeat(20, axis=0) * 0.4 + 0.6 * shares, tokens
+
+
+def test_mixing_fit_reaches_scarce_domains():
+    p, tokens = _scarce()
+    targets = np.array(mixing.TARGETS)
+    prices, gap = mixing.fit_prices(p, tokens, mixing.TARGETS)
+    r = np.clip(1 - p @ prices, 0, mixing.MOST_RATE)
+    assert np.allclose((p * (tokens * r)[:, None]).sum(0) / tokens.sum(), targets, atol=1e-4) and np.abs(gap).max() < 1e-4
+    old = (p * (tokens * _brute_rates(p, tokens, targets, 24))[:, None]).sum(0) / tokens.sum()
+    assert abs(old[1] - targets[1]) > 1e-3  # the descent of few rounds doesn't
+    bare = np.tile([0.5, 0.0, 0.5, 0.0], (3, 1))  # targets that no rates meet leave finite rates
+    prices, gap = mixing.fit_prices(bare, np.ones(3), mixing.TARGETS)
+    assert np.isfinite(prices).all() and abs(gap[1] + 0.01) < 1e-9
+
+
 def test_mixing_matches_brute_force(spark):
     rng = random.Random(12)
     docs, labels = [], []

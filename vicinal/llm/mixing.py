@@ -1,21 +1,23 @@
 """Mixing documents to target weights of domains, with soft membership.
 
 A naive Bayes classifier, fitted by grouped counts on a labelled table, gives
-each document's posterior over domains. Projected gradient descent on a weighted
-least-squares problem then finds nonnegative document rates whose expected token
-totals by domain match the targets. Documents with equal features have equal
-posteriors and so equal rates: the sums of an iteration run over the table of
-feature cells, whose number is bounded by the features' ranges, and what an
-iteration learns is one residual per domain.
-
-Everything here is built-in DataFrame functions; the driver sees counts and
-residuals whose number the parameters bound.
+each document's posterior over domains. Projected gradient ascent on the dual of a
+weighted least-squares problem then finds the document rates nearest to 1, within
+their bounds, whose expected token totals by domain match the targets. Documents
+with equal features have equal posteriors and so equal rates: the sums of an
+iteration run over the feature cells, whose number is bounded by the features'
+ranges.
+
+Everything that touches documents is built-in DataFrame functions; the driver
+sees counts and cells whose number the parameters bound.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ KEPT = "high_clean"
 TARGETS = (0.04, 0.01, 0.91, 0.04)
 #: Labelled rows from which marker words are learned at most, and the words kept.
 SAMPLE_ROWS, MARKERS = 5000, 40
+#: Bounds of a rate, and the weight of a residual's price against that of leaving rates at 1.
+LEAST_RATE, MOST_RATE, SLACK = 0.0, 1000.0, 1e-7
 #: Features and their numbers of values.
 FEATURES = {"f_marker": 4, "f_repeat": 5, "f_symbol": 5, "f_upper": 4, "f_size": 4}
 
@@ -101,76 +105,74 @@ def posteriors(priors: list[float], tables: dict[str, list[list[float]]]) -> Col
     return F.element_at(F.transform(raised, lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y))), 1)
 
 
-def _solve(a: list[list[float]], b: list[float]) -> list[float]:
-    """Solution of a small symmetric system, with a ridge that keeps rates tame when a domain is next to absent."""
-    n = len(b)
-    ridge = 1e-3 * max(sum(a[i][i] for i in range(n)), 1e-30)
-    m = [[*(a[i][j] + ridge * (i == j) for j in range(n)), b[i]] for i in range(n)]
-    for i in range(n):
-        p = max(range(i, n), key=lambda r: abs(m[r][i]))
-        m[i], m[p] = m[p], m[i]
-        for r in range(i + 1, n):
-            f = m[r][i] / m[i][i]
-            m[r] = [x - f * y for x, y in zip(m[r], m[i], strict=True)]
-    x = [0.0] * n
-    for i in range(n - 1, -1, -1):
-        x[i] = (m[i][n] - sum(m[i][j] * x[j] for j in range(i + 1, n))) / m[i][i]
-    return x
-
-
-def rate(posterior: Column, steps: list[list[float]]) -> Column:
-    """The rate after the given gradient steps from 1: each step is one weight per domain."""
-    if not steps:
-        return F.lit(1.0)
-    path = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
-    move = lambda s: F.aggregate(F.zip_with(posterior, s, lambda p, y: p * y), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(path, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - move(s)))
-
-
-def fit_steps(cells: DataFrame, targets: tuple[float, ...], rounds: int = 24, close: float = 1e-5) -> list[list[float]]:
-    """Gradient steps of the rates, by projected gradient over cells (p: posterior, tokens).
-
-    The residuals are weighted by the inverse of the domains' Gram matrix, for
-    which a step of length 1 is safe. Ends when every domain's share is within
-    `close` of its target, when a step moves no share by as much, or after
-    `rounds` steps, as for targets that no nonnegative rates meet.
+def rate(posterior: Column, prices: np.ndarray) -> Column:
+    """The rate at the given prices of the domains' tokens, within its bounds."""
+    cost = F.aggregate(F.zip_with(posterior, F.array(*[F.lit(float(x)) for x in prices]), lambda p, y: p * y), F.lit(0.0), lambda a, x: a + x)
+    return F.least(F.lit(MOST_RATE), F.greatest(F.lit(LEAST_RATE), F.lit(1.0) - cost))
+
+
+def fit_prices(p: np.ndarray, tokens: np.ndarray, targets: tuple[float, ...], rounds: int = 500, close: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Prices of the domains and the residuals that they leave, by projected gradient over cells (p: posterior, tokens).
+
+    A cell's rate is 1 less the price of its posterior, projected to the bounds.
+    The dual's gradient are the residuals (share of tokens less target), less
+    SLACK times the prices: what no rates in the bounds can meet stays a residual,
+    and so does a domain that is next to absent. A step is weighted by the
+    inverse Gram matrix of the cells inside the bounds, with a ridge that falls
+    where progress is slow, and halved until the dual rises by enough. Ends where
+    the gradient is within `close` of 0, that is where the dual is largest.
     """
-    k = len(targets)
-    p = lambda i: F.element_at("p", i + 1)
-    sums = cells.agg(F.sum("tokens").alias("n"), *[F.sum(p(i) * p(j) * F.col("tokens")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    total = float(sums.n or 0)
+    k, total = len(targets), float(tokens.sum())
+    prices = np.zeros(k)
     if not total:
-        return []
-    gram = [[sums[f"g{min(i, j)}_{max(i, j)}"] / total for j in range(k)] for i in range(k)]
-    steps: list[list[float]] = []
-    last = [math.inf] * k
+        return prices, np.zeros(k)
+    w, t = tokens / total, np.array(targets)
+
+    def at(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        free = 1 - p @ y
+        r = np.clip(free, LEAST_RATE, MOST_RATE)
+        gap = (w * r) @ p - t
+        return float(w @ (0.5 * (r - 1) ** 2 + (p @ y) * r) - y @ t - SLACK / 2 * y @ y), gap, free == r
+
+    value, gap, inside = at(prices)
+    scale, ridge = float(np.trace((p * w[:, None]).T @ p)), 1e-3
     for _ in range(rounds):
-        weighed = cells.withColumn("r", rate(F.col("p"), steps))
-        got = weighed.agg(*[F.sum(p(i) * F.col("tokens") * F.col("r")).alias(f"s{i}") for i in range(k)]).first()
-        gap = [got[f"s{i}"] / total - targets[i] for i in range(k)]
-        if max(map(abs, gap)) < close or max(abs(a - b) for a, b in zip(gap, last, strict=True)) < 10 * close:
+        up = gap - SLACK * prices
+        if np.abs(up).max() < close:
             break
-        last = gap
-        steps.append(_solve(gram, gap))
-    return steps
+        held = p[inside]
+        step = np.linalg.solve((held * w[inside, None]).T @ held + (ridge * scale + SLACK) * np.eye(k), up)
+        size = 1.0
+        while (new := at(prices + size * step))[0] < value + 1e-4 * size * float(up @ step) and size > 1e-12:
+            size /= 2
+        before = np.abs(up).max()
+        prices = prices + size * step
+        value, gap, inside = new
+        if np.abs(gap - SLACK * prices).max() > before / 4:
+            ridge = max(ridge / 10, 1e-12)
+    return prices, gap
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """doc_id, tokens, posterior (array by DOMAINS) and rate of every document.
 
-    Rates are expected numbers of copies; the corpus keeps its size in tokens,
-    and each domain's expected share of them is its target, as far as
-    nonnegative rates can meet it. Null and empty texts have no tokens and a
-    rate like any other text of their features; repeated rows have equal rates.
-    Without usable labels all rates follow from equal posteriors. Further
-    columns are left alone; an empty table gives an empty result.
+    Rates are expected numbers of copies, MOST_RATE at most; the corpus keeps its
+    size in tokens, and each domain's expected share of them is its target, as
+    far as rates in their bounds can meet it; what is left is logged. Null and
+    empty texts have no tokens and a rate like any other text of their features;
+    repeated rows have equal rates. Without usable labels all rates follow from
+    equal posteriors. Further columns are left alone; an empty table gives an
+    empty result.
     """
     docs, labelled = docs.select("doc_id", "text"), materialise(_label(labels), "mixing-labels")
     rows = materialise(features(docs, marker_words(docs, labelled)), "mixing-features")
     posterior = posteriors(*_log_tables(rows, labelled))
-    cells = rows.groupBy(*FEATURES).agg(F.sum("tokens").alias("tokens")).withColumn("p", posterior).select("p", "tokens")
-    steps = fit_steps(materialise(cells.coalesce(1), "mixing-cells"), targets)
-    return rows.withColumn("posterior", posterior).select("doc_id", "tokens", "posterior", rate(F.col("posterior"), steps).alias("rate"))
+    cells = rows.groupBy(*FEATURES).agg(F.sum("tokens").alias("tokens")).withColumn("p", posterior).select("p", "tokens").collect()
+    p, tokens = np.array([c.p for c in cells]).reshape(-1, len(targets)), np.array([c.tokens for c in cells], float)
+    prices, gap = fit_prices(p, tokens, targets)
+    if np.abs(gap).max() > 1e-3:
+        logging.getLogger(__name__).warning("shares less targets left by the mix: %s", dict(zip(DOMAINS, np.round(gap, 5).tolist(), strict=True)))
+    return rows.withColumn("posterior", posterior).select("doc_id", "tokens", "posterior", rate(F.col("posterior"), prices).alias("rate"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
