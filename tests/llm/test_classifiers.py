@@ -201,3 +201,24 @@ def test_mixing_matches_brute_force(spark):
         assert int(rate) <= n.get(x.doc_id, 0) / (2 if x.doc_id == 5 else 1) <= int(rate) + 1
     assert mixing.mixing_rates(df.limit(0), lab).count() == 0
     assert mixing.mixing_rates(df.limit(3), lab.limit(0)).count() == 3
+
+
+def test_mix_meets_shares_with_clean_documents_kept(spark):
+    rng = random.Random(13)
+    docs, truth = [], {}
+    for i in range(400):
+        q, t = int(i % 10 > 0), int(i % 8 == 0)
+        text = _prose(rng, rng.randint(60, 100))
+        docs.append((i, (text if q else " | ".join(text.upper().split())) + " grumble scoundrel" * t))
+        truth[i] = 2 * q + t
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, d // 2, d % 2) for i, d in truth.items()], "doc_id long, quality int, toxic int")
+    targets = np.array((0.2, 0.1, 0.5, 0.2))
+    rows = mixing.mixing_rates(df, labels, tuple(targets), mixing.KEPT).collect()
+    assert all(x.rate >= 1 for x in rows if int(np.argmax(x.posterior)) == 2)
+    total = sum(np.array(x.posterior) * x.tokens * x.rate for x in rows)
+    assert np.allclose(total / total.sum(), targets, atol=1e-3)
+    share = np.zeros(4)
+    for r in mixing.mix(df, labels, tuple(targets)).collect():
+        share[truth[r.doc_id]] += len(r.text.split())
+    assert np.abs(share / share.sum() - targets).max() < 0.05

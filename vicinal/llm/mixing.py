@@ -105,16 +105,17 @@ def posteriors(priors: list[float], tables: dict[str, list[list[float]]]) -> Col
     return F.element_at(F.transform(raised, lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y))), 1)
 
 
-def rate(posterior: Column, prices: np.ndarray) -> Column:
-    """The rate at the given prices of the domains' tokens, within its bounds."""
+def rate(posterior: Column, prices: np.ndarray, base: float = 1.0, least: Column | None = None) -> Column:
+    """The rate at the given prices of the domains' tokens, from base, within its bounds."""
     cost = F.aggregate(F.zip_with(posterior, F.array(*[F.lit(float(x)) for x in prices]), lambda p, y: p * y), F.lit(0.0), lambda a, x: a + x)
-    return F.least(F.lit(MOST_RATE), F.greatest(F.lit(LEAST_RATE), F.lit(1.0) - cost))
+    return F.least(F.lit(MOST_RATE), F.greatest(F.lit(LEAST_RATE) if least is None else least, F.lit(base) - cost))
 
 
-def fit_prices(p: np.ndarray, tokens: np.ndarray, targets: tuple[float, ...], rounds: int = 500, close: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit_prices(p: np.ndarray, tokens: np.ndarray, targets: tuple[float, ...], least: np.ndarray | float = LEAST_RATE, rounds: int = 500, close: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Prices of the domains and the residuals that they leave, by projected gradient over cells (p: posterior, tokens).
 
-    A cell's rate is 1 less the price of its posterior, projected to the bounds.
+    A cell's rate is 1 less the price of its posterior, projected to the bounds,
+    of which least (one a cell, or one for all) is the lower.
     The dual's gradient are the residuals (share of tokens less target), less
     SLACK times the prices: what no rates in the bounds can meet stays a residual,
     and so does a domain that is next to absent. A step is weighted by the
@@ -130,7 +131,7 @@ def fit_prices(p: np.ndarray, tokens: np.ndarray, targets: tuple[float, ...], ro
 
     def at(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         free = 1 - p @ y
-        r = np.clip(free, LEAST_RATE, MOST_RATE)
+        r = np.clip(free, least, MOST_RATE)
         gap = (w * r) @ p - t
         return float(w @ (0.5 * (r - 1) ** 2 + (p @ y) * r) - y @ t - SLACK / 2 * y @ y), gap, free == r
 
@@ -153,13 +154,15 @@ def fit_prices(p: np.ndarray, tokens: np.ndarray, targets: tuple[float, ...], ro
     return prices, gap
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, kept: str | None = None) -> DataFrame:
     """doc_id, tokens, posterior (array by DOMAINS) and rate of every document.
 
     Rates are expected numbers of copies, MOST_RATE at most; the corpus keeps its
     size in tokens, and each domain's expected share of them is its target, as
-    far as rates in their bounds can meet it; what is left is logged. Null and
-    empty texts have no tokens and a rate like any other text of their features;
+    far as rates in their bounds can meet it; what is left is logged. Rows that are
+    likeliest of the domain kept have a rate of 1 at least, within the fit; if
+    that can't be met at the corpus's size, its size is free and the shares are
+    those of what it becomes. Null and empty texts have no tokens and a rate like any other text of their features;
     repeated rows have equal rates. Without usable labels all rates follow from
     equal posteriors. Further columns are left alone; an empty table gives an
     empty result.
@@ -169,18 +172,26 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...]
     posterior = posteriors(*_log_tables(rows, labelled))
     cells = rows.groupBy(*FEATURES).agg(F.sum("tokens").alias("tokens")).withColumn("p", posterior).select("p", "tokens").collect()
     p, tokens = np.array([c.p for c in cells]).reshape(-1, len(targets)), np.array([c.tokens for c in cells], float)
-    prices, gap = fit_prices(p, tokens, targets)
+    least, floor, base = LEAST_RATE, None, 1.0
+    if kept is not None:
+        least = np.where(p.argmax(axis=1) == DOMAINS.index(kept), 1.0, LEAST_RATE)
+        floor = F.when(F.array_position("posterior", F.array_max("posterior")) == DOMAINS.index(kept) + 1, 1.0).otherwise(LEAST_RATE)
+    prices, gap = fit_prices(p, tokens, targets, least)
+    if kept is not None and np.abs(gap).max() > 1e-4:  # tokens of a domain less its share of all tokens are to be 0
+        prices, gap = fit_prices(p - np.array(targets), tokens, (0.0,) * len(targets), least)
+        base = 1.0 + float(prices @ np.array(targets))
+        gap /= float(tokens @ np.clip(base - p @ prices, least, MOST_RATE)) / tokens.sum()
     if np.abs(gap).max() > 1e-3:
         logging.getLogger(__name__).warning("shares less targets left by the mix: %s", dict(zip(DOMAINS, np.round(gap, 5).tolist(), strict=True)))
-    return rows.withColumn("posterior", posterior).select("doc_id", "tokens", "posterior", rate(F.col("posterior"), prices).alias("rate"))
+    return rows.withColumn("posterior", posterior).select("doc_id", "tokens", "posterior", rate(F.col("posterior"), prices, base, floor).alias("rate"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """docs with each row as often as its rate says: the whole part of it, and once more for
     the share of ids whose hash is below the rest. A row that is likeliest of the domain
-    KEPT stays at least once, so that no mix thins clean documents. Columns are those of docs."""
-    clean = F.array_position("posterior", F.array_max("posterior")) == DOMAINS.index(KEPT) + 1
-    rates = mixing_rates(docs, labels, targets).select("doc_id", F.when(clean, F.greatest("rate", F.lit(1.0))).otherwise(F.col("rate")).alias("rate")).groupBy(F.col("doc_id").alias("_vm_id")).agg(F.max("rate").alias("_vm_rate"))
+    KEPT stays at least once, so that no mix thins clean documents; the other rates make
+    up for that. Columns are those of docs."""
+    rates = mixing_rates(docs, labels, targets, KEPT).groupBy(F.col("doc_id").alias("_vm_id")).agg(F.max("rate").alias("_vm_rate"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor("_vm_rate") + F.when(chance < F.col("_vm_rate") - F.floor("_vm_rate"), 1).otherwise(0)
     both = docs.join(rates, F.col("doc_id").eqNullSafe(F.col("_vm_id")))
