@@ -97,6 +97,17 @@ def test_license_scan(spark, model):
     assert license_scan.scan(df.limit(0), model=model).count() == 0
 
 
+def test_license_notices_apart_in_one_line(spark, model):
+    rng = random.Random(4)
+    notices = ["This work is licensed under the GNU General Public License version 2.", "This work is licensed under the GNU General Public License, version 3.", "Released under the MIT License."]
+    text = " ".join(f"{_prose(rng, 300)} {n}" for n in notices)
+    (row,) = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model=model).collect()
+    sure = [h for h in row.hits if h.confirmed]
+    assert row.n_paragraphs == 1 and [h.family for h in sure] == ["gpl", "gpl", "mit"]
+    for h, at in zip(sure, (text.index(n) for n in notices), strict=True):
+        assert h.start < at + 40 and h.end > at
+
+
 WORDS = {"en": "the of and that with this for was are from".split(), "de": "der die und das nicht mit ist ein auf auch".split(), "fr": "le la et les des que est dans pour une".split()}
 
 

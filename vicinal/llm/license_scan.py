@@ -209,8 +209,9 @@ def scan(docs: DataFrame, text_col: str = "text", model: dict | None = None) ->
 
     A hit has its paragraph (from 0), the byte span of its words in the UTF-8
     text, the family, its calibrated probability, the share of the nearest
-    template found in it, and whether that confirms it. Overlapping windows of
-    one paragraph that name the same family give one hit, the most probable.
+    template found in it, and whether that confirms it. Windows of one paragraph
+    that name the same family and overlap or touch give one hit, the most
+    probable of those confirmed, if any; windows apart give a hit each.
     Null and empty texts have no paragraphs; repeated rows are scanned each.
     Columns of docs with the names of the new ones are replaced.
     """
@@ -234,7 +235,8 @@ def scan(docs: DataFrame, text_col: str = "text", model: dict | None = None) ->
                 z[:, none] += m["unknown"]
                 p = _softmax(z)
                 family = p.argmax(axis=1)
-                found: dict[tuple[int, int, int], dict] = {}
+                found: dict[tuple[int, int, int, int], dict] = {}
+                runs: dict[tuple[int, int, int], tuple[int, int]] = {}  # first window and last word of the latest run
                 for i in np.flatnonzero((family != none) & (p.max(axis=1) >= LEAST_PROBABILITY)).tolist():
                     name = FAMILIES[family[i]]
                     share = _similarity(units.hashes[units.a[i] : units.b[i]], m["templates"][name])
@@ -243,10 +245,15 @@ def scan(docs: DataFrame, text_col: str = "text", model: dict | None = None) ->
                         "paragraph": int(units.paragraph[i]), "start": int(units.words.starts[units.a[i]] - offs[row]), "end": int(units.words.ends[units.b[i] - 1] - offs[row]),
                         "family": name, "probability": float(p[i, family[i]]), "similarity": share, "confirmed": share >= LEAST_SIMILARITY,
                     }
-                    key = (a + row, hit["paragraph"], int(family[i]))
+                    line = (a + row, hit["paragraph"], int(family[i]))
+                    first, end = runs.get(line, (i, -1))
+                    if units.a[i] > end:
+                        first = i
+                    runs[line] = (first, int(units.b[i]))
+                    key = (*line, first)
                     if key not in found or (hit["confirmed"], hit["probability"]) > (found[key]["confirmed"], found[key]["probability"]):
                         found[key] = hit
-                for (row, _, _), hit in sorted(found.items()):
+                for (row, *_), hit in sorted(found.items(), key=lambda x: x[0]):
                     hits[row].append(hit)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts), pa.array(hits, pa.list_(hit_type))], [*batch.schema.names, "n_paragraphs", "hits"])
 
