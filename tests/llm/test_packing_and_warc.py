@@ -24,6 +24,7 @@ def test_encoder_equals_tokenizer(tokenizer):
     rng = random.Random(5)
     letters = list("ab'sx1.,é \r\n\t  ") + [" ", " ", "don't", "\x1c", "漢字", "🙂"]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [None, "", "word " * 5000]
+    texts += ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b\n<|endoftext|>", "<|endoftext", "x" * 300 + " y"]
     tool = Encoder(default_tokenizer())
     got = [ids[b[i] : b[i + 1]].tolist() for s, e, ids, b in tool.encode_column(pa.array(texts)) for i in range(e - s)]
     assert got == [x.ids for x in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
@@ -33,6 +34,16 @@ def test_encoder_equals_tokenizer(tokenizer):
     assert again == got[-900:]
 
 
+def test_units_of_equal_hashes_are_told_apart(tokenizer, monkeypatch):
+    from vicinal.llm import tokens
+
+    monkeypatch.setattr(tokens, "span_hashes", lambda buf, s, e: (e - s).astype(np.uint64))  # units of one length collide
+    texts = ["one two six ten", "red cat dog", "aaaa bbbb cccc aaaa", "one two six ten"]
+    tool = Encoder(default_tokenizer())
+    got = [ids[b[i] : b[i + 1]].tolist() for s, e, ids, b in tool.encode_column(pa.array(texts)) for i in range(e - s)]
+    assert got == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_pieces_tile_every_document(spark, tokenizer):
     rng = random.Random(6)
     texts = [" ".join(str(rng.randint(0, 10**6)) for _ in range(rng.randint(0, 700))) for _ in range(150)] + [None, "", "long text " * 20000]

@@ -4,7 +4,9 @@ A token of such a vocabulary never spans the start of a word, so that a text is
 cut at white space into units (a word with the one blank before it, or a run of
 white space as the vocabulary's own pattern cuts it), and each distinct unit is
 given to the tokenizer once; the ids of a text are those of its units in order.
-Texts with white space or separators beyond ASCII go to the tokenizer whole.
+Units are found in a worker's table by a 64-bit hash, and their bytes are then
+compared. Texts with white space or separators beyond ASCII, or with one of the
+vocabulary's added tokens, go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import json
 import numpy as np
 import pyarrow as pa
 
-from .textkit import _BYTE_CODES, Words, slices, span_hashes
+from .textkit import Words, slices, span_hashes
 
 #: Units kept by a worker at most; the table starts anew when it is full.
 UNITS_KEPT = 600_000
@@ -64,7 +66,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.odd = [*_ODD, *(t.content.encode() for t in added if t.content)]
         self.fast = _merge_engine(path)
         self._forget()
 
@@ -72,12 +75,16 @@ class Encoder:
         self.keys = np.zeros(0, np.uint64)
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.letters, self.at, self.width, self.spelt = np.zeros(1 << 18, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of units, none of which holds an added token."""
         if self.fast is not None:
             return [self.fast.encode_ordinary(t) for t in texts]
+        return self._encode_whole(texts)
+
+    def _encode_whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_units(self, units: list[str]) -> list[list[int]]:
@@ -113,18 +120,42 @@ class Encoder:
         self.flat[self.used : self.used + len(flat)] = flat
         starts = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
+        spelling = np.frombuffer("".join(units).encode(), np.uint8)
+        width = np.fromiter((len(u.encode()) for u in units), np.int64, len(units))
+        if self.spelt + len(spelling) > len(self.letters):
+            grown = np.zeros(max(2 * len(self.letters), self.spelt + len(spelling)), np.uint8)
+            grown[: self.spelt] = self.letters[: self.spelt]
+            self.letters = grown
+        self.letters[self.spelt : self.spelt + len(spelling)] = spelling
+        begin = self.spelt + np.cumsum(width) - width
+        self.spelt += len(spelling)
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
         self.starts = np.insert(self.starts, at, starts)
         self.sizes = np.insert(self.sizes, at, sizes)
+        self.at = np.insert(self.at, at, begin)
+        self.width = np.insert(self.width, at, width)
+
+    def _misspelt(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Which units are not spelt as their entries of the table, by comparing all bytes."""
+        size = ends - starts
+        wrong = size != self.width[entry]
+        for i in range(0, len(starts), 1 << 18):
+            n = np.where(wrong[i : i + (1 << 18)], 0, size[i : i + (1 << 18)])
+            s, a = starts[i : i + len(n)], self.at[entry[i : i + len(n)]]
+            unit = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
+            differ = buf[s[unit] + step] != self.letters[a[unit] + step]
+            wrong[i + unit[differ]] = True
+        return wrong
 
     def encode_column(self, column: pa.Array):
         """For each run of rows: first row, end row, ids of all its rows, bounds of each row's ids."""
         for a, b, buf, offs in slices(column):
             raw = buf.tobytes()
-            odd = any(x in raw for x in _ODD)
+            odd = any(x in raw for x in self.odd)
             if odd:
-                whole = np.array([any(x in raw[s:e] for x in _ODD) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
+                whole = np.array([any(x in raw[s:e] for x in self.odd) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
                 at = 0
                 while at < b - a:  # runs of rows of the same kind
                     end = at + 1
@@ -132,7 +163,7 @@ class Encoder:
                         end += 1
                     part, po = buf[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
                     if whole[at]:
-                        ids = self._encode([raw[offs[i] : offs[i + 1]].decode() for i in range(at, end)])
+                        ids = self._encode_whole([raw[offs[i] : offs[i + 1]].decode() for i in range(at, end)])
                         yield a + at, a + end, np.array([x for r in ids for x in r], np.uint32), np.concatenate([[0], np.cumsum([len(r) for r in ids])]).astype(np.int64)
                     else:
                         yield (a + at, a + end, *self._by_units(part, po))
@@ -142,7 +173,7 @@ class Encoder:
 
     def _by_units(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends = self._units(buf, offs)
-        keys = span_hashes(_BYTE_CODES[0][buf], starts, ends)
+        keys = span_hashes(buf, starts, ends)
         distinct, first, of = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) > UNITS_KEPT:
             self._forget()
@@ -154,10 +185,18 @@ class Encoder:
             raw = buf.tobytes()
             self._learn(distinct[new], [raw[starts[i] : ends[i]].decode() for i in first[new].tolist()])
             at = np.searchsorted(self.keys, distinct)
-        size = self.sizes[at][of]
+        entry = at[of]
+        size, begin, flat = self.sizes[entry], self.starts[entry], self.flat
+        wrong = np.flatnonzero(self._misspelt(buf, starts, ends, entry))
+        if len(wrong):  # another unit has the same hash: encoded apart, not kept
+            raw = buf.tobytes()
+            found = self._encode_units([raw[starts[i] : ends[i]].decode() for i in wrong.tolist()])
+            size[wrong] = [len(x) for x in found]
+            begin[wrong] = self.used + np.cumsum(size[wrong]) - size[wrong]
+            flat = np.concatenate([self.flat[: self.used], np.array([x for ids in found for x in ids], np.uint32)])
         done = np.concatenate([[0], np.cumsum(size)])
-        place = np.repeat(self.starts[at][of] - done[:-1], size) + np.arange(done[-1])
-        return self.flat[place], done[np.searchsorted(starts, offs)]
+        place = np.repeat(begin - done[:-1], size) + np.arange(done[-1])
+        return flat[place], done[np.searchsorted(starts, offs)]
 
     @staticmethod
     def _units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
