@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Words, mix64, slices, span_hashes
+from .textkit import Words, run_hashes, slices
 
 BUCKETS, GRAMS = 1 << 16, (1, 2, 3)
 #: Words of a window in a long paragraph, and words from one window to the next.
@@ -99,10 +99,8 @@ class Units:
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """Bucket and unit of every word n-gram inside each unit."""
         buckets, units = [], []
-        n = len(self.hashes)
         for k in GRAMS:
-            at = np.arange(max(n - k + 1, 0))
-            grams = (span_hashes(mix64(self.hashes), at, at + k) % np.uint64(BUCKETS)).astype(np.int64)
+            grams = (run_hashes(self.hashes, k) % np.uint64(BUCKETS)).astype(np.int64)
             size = np.maximum(self.b - self.a - k + 1, 0)
             unit = np.repeat(np.arange(len(self.a)), size)
             place = np.repeat(self.a - (np.cumsum(size) - size), size) + np.arange(len(unit))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -10,10 +9,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark drops the shuffle files of a query when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it."""
+    """The folder that driver and executors share, as the cluster names it.
+
+    Where spark.checkpoint.dir is unset, a session in one process (tests) uses a
+    temporary folder; on a cluster, whose machines would each write to their own
+    disk, that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return found.rstrip("/")
 
@@ -21,8 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/vicinal-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
 
@@ -32,22 +41,35 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files that nothing refers to any more.
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    It learns of them when the driver's JVM collects garbage, which a long job
-    of many phases may not do before the disks are full.
+    Shuffle files of the write are dropped when it is done. The path is kept with the result, so that `remove` can delete it early.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._vicinal_path = path
+    return back
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes what `materialise` wrote for these tables; nothing may read them any more."""
+    for t in tables:
+        remove_path(t.sparkSession, t._vicinal_path)
+        t.unpersist()
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of df's size in bytes; 0 where it has none."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -11,11 +11,15 @@ representative of each distinct window, told whether the slice has it again, so
 that what a bucket receives of one window is bounded by the number of slices,
 however often a passage occurs.
 
-Windows are compared by two independent 64-bit hashes of their bytes.
+Windows are sorted by a 64-bit hash; those of equal hashes are then compared
+word by word, so that no two different windows are ever taken for one. Runs of
+MINIMISER words that are very frequent stand last in the order of minimisers, so
+that the windows that hold a common phrase are dealt by their other words.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,32 +28,32 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import parallelism
-from .textkit import Words, buffer_of, mix64, slices, span_hashes
+from .runtime import estimated_bytes, materialise, parallelism, remove
+from .textkit import Words, buffer_of, mix64, run_hashes, slices
 
 #: Words of a minimiser.
 MINIMISER = 3
 #: Bytes of text whose windows a task counts at once.
 SLICE = 2 << 20
+#: Bytes of text for which there is a bucket, beyond a few a task, and times that a run occurs in a slice to be counted.
+BUCKET_BYTES, COMMON = 32 << 20, 16
 
 
-def _window_hashes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word of every window, and two hashes of each."""
-    counts = np.diff(words.bounds)
+def _heads(words: Words, window: int) -> np.ndarray:
+    """First word of every window."""
     heads = np.arange(len(words.starts))
-    ok = heads + window <= np.repeat(words.bounds[1:], counts)
-    heads = heads[ok]
-    return heads, *(span_hashes(mix64(words.hashes(lane)), heads, heads + window, lane) for lane in (0, 1))
+    return heads[heads + window <= np.repeat(words.bounds[1:], np.diff(words.bounds))]
 
 
-def _minimisers(word_hashes: np.ndarray, heads: np.ndarray, window: int) -> np.ndarray:
-    """The smallest hash of MINIMISER consecutive words inside each window."""
+def _minimisers(word_hashes: np.ndarray, heads: np.ndarray, window: int, frequent: np.ndarray) -> np.ndarray:
+    """The smallest hash of MINIMISER consecutive words inside each window; the frequent ones (sorted) come last."""
     m = min(MINIMISER, window)
-    n = len(word_hashes)
     if not len(heads):
         return np.zeros(0, np.uint64)
-    at = np.arange(n - m + 1)
-    low = span_hashes(mix64(word_hashes), at, at + m)
+    low = run_hashes(word_hashes, m)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, low), len(frequent) - 1)
+        low = (low >> np.uint64(1)) | ((frequent[at] == low).astype(np.uint64) << np.uint64(63))
     width = window - m + 1
     done = 1
     while done < width:  # doubling: after each step low covers `done` positions
@@ -59,18 +63,62 @@ def _minimisers(word_hashes: np.ndarray, heads: np.ndarray, window: int) -> np.n
     return low[heads]
 
 
-def _groups(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order that sorts the windows, the start of each run of equals in it, and the runs' lengths."""
-    order = np.argsort(first, kind="stable")
-    a, b = first[order], second[order]
-    tied = np.flatnonzero(a[1:] == a[:-1])
-    if len(tied) and (b[tied] != b[tied + 1]).any():
-        order = np.lexsort((second, first))
-        a, b = first[order], second[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+def _groups(hashes: np.ndarray, words: Words, raw: bytes, heads: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts the windows, the start of each run of equals in it, and the runs' lengths.
+
+    Neighbours of equal hashes are compared by their words, a whole run of
+    consecutive windows at once; if any differ, the windows of that hash are told
+    apart by their words.
+    """
+    order = np.argsort(hashes, kind="stable")
+    h = hashes[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    tied = np.flatnonzero(~new)
+    if len(tied):
+        by = np.argsort(order[tied - 1], kind="stable")
+        x, y = heads[order[tied - 1]][by], heads[order[tied]][by]
+        cut = np.flatnonzero(np.r_[True, (x[1:] != x[:-1] + 1) | (y[1:] != y[:-1] + 1), True])
+        content = lambda i, j: raw[words.starts[i] : words.ends[j + window - 1]].split()
+        wrong = [h[tied[by[s:e]]] for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if content(x[s], x[e - 1]) != content(y[s], y[e - 1])]
+        if wrong:
+            known: dict[tuple, int] = {}
+            rank = np.zeros(len(hashes), np.int64)
+            for i in np.flatnonzero(np.isin(hashes, np.concatenate(wrong))).tolist():
+                j = heads[i]
+                key = tuple(raw[s:e] for s, e in zip(words.starts[j : j + window].tolist(), words.ends[j : j + window].tolist(), strict=True))
+                rank[i] = known.setdefault(key, len(known) + 1)
+            order = np.lexsort((rank, hashes))
+            h, r = hashes[order], rank[order]
+            new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
     starts = np.flatnonzero(new)
-    return order, starts, np.diff(np.append(starts, len(a)))
+    return order, starts, np.diff(np.append(starts, len(h)))
+
+
+def frequent_runs(docs: DataFrame, window: int, text_col: str, n_buckets: int) -> np.ndarray:
+    """Hashes of the runs of MINIMISER words that make up more than 1 / (16 n_buckets) of all runs.
+
+    A task counts the runs of a slice and tells those that occur COMMON times in
+    it at least; there are 16 n_buckets of them at most. The list only balances
+    buckets, results don't depend on it.
+    """
+    m = min(MINIMISER, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, offs in slices(batch.column(text_col), SLICE):
+                found, n = np.unique(run_hashes(Words(buf, offs).hashes(), m), return_counts=True)
+                common = n >= COMMON
+                runs = np.append(found[common].view(np.int64), 0)
+                counts, total = np.append(n[common], 0), np.append(np.zeros(int(common.sum()), np.int64), n.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(counts), pa.array(total)], ["run", "n", "total"])
+
+    counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).mapInArrow(run, "run long, n long, total long").groupBy("run").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    counted = materialise(counted, "runs")
+    total = counted.agg(F.sum("total")).first()[0] or 0
+    rows = counted.where(F.col("n") * (16 * n_buckets) > F.lit(total)).select("run").collect()
+    remove(counted)
+    return np.sort(np.array([r.run for r in rows], np.int64).view(np.uint64))
 
 
 def _ranges(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +135,8 @@ def repeated_windows(docs: DataFrame, window: int, key_cols: tuple[str, ...], te
     spans: packed int64 pairs, the first and last window (by its first word) of
     a run of repeated windows. A document can have several rows.
     """
-    spark = docs.sparkSession
-    n_buckets = 6 * parallelism(spark)
+    n_buckets = max(6 * parallelism(docs.sparkSession), math.ceil(estimated_bytes(docs) / BUCKET_BYTES))
+    frequent = frequent_runs(docs, window, text_col, n_buckets)
     key_fields = ", ".join(f"{k} {t}" for k, t in docs.select(*key_cols).dtypes)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,10 +147,11 @@ def repeated_windows(docs: DataFrame, window: int, key_cols: tuple[str, ...], te
             keys = batch.select(list(key_cols))
             for a, b, buf, offs in slices(batch.column(text_col), SLICE):
                 words = Words(buf, offs)
-                heads, one, two = _window_hashes(words, window)
+                heads = _heads(words, window)
                 if not len(heads):
                     continue
-                order, starts, counts = _groups(one, two)
+                raw, hashes = buf.tobytes(), words.hashes()
+                order, starts, counts = _groups(run_hashes(hashes, window)[heads], words, raw, heads, window)
                 again = np.zeros(len(heads), bool)
                 again[order] = np.repeat(counts > 1, counts)
                 doc = np.searchsorted(words.bounds, heads, side="right") - 1
@@ -112,14 +161,13 @@ def repeated_windows(docs: DataFrame, window: int, key_cols: tuple[str, ...], te
                     via = pa.array(((a + at) % n_buckets).astype(np.int32))  # through any bucket, so that one pass over the texts is enough
                     yield pa.RecordBatch.from_arrays([via, pa.nulls(len(at), pa.binary()), *rows.columns, pa.array(spans, pa.binary())], names)
                 chosen = np.sort(order[starts])
-                low = _minimisers(words.hashes(0), heads[chosen], window)
+                low = _minimisers(hashes, heads[chosen], window, frequent)
                 bucket = (mix64(low) % np.uint64(n_buckets)).astype(np.int64)
                 h = heads[chosen]
                 cut = np.ones(len(h), bool)  # a super-k-mer: consecutive windows, one minimiser, one document
                 cut[1:] = (h[1:] != h[:-1] + 1) | (low[1:] != low[:-1]) | (again[chosen][1:] != again[chosen][:-1])
                 head = np.flatnonzero(cut)
                 tail = np.append(head[1:], len(h)) - 1
-                raw = buf.tobytes()
                 text_from, text_to = words.starts[h[head]], words.ends[h[tail] + window - 1]
                 meta = np.stack([doc[chosen][head], h[head] - words.bounds[doc[chosen][head]], again[chosen][head]], axis=1).astype("<i8")
                 into = np.argsort(bucket[head], kind="stable")
@@ -143,22 +191,23 @@ def repeated_windows(docs: DataFrame, window: int, key_cols: tuple[str, ...], te
         table = table.filter(table.column("load").is_valid())
         if not table.num_rows:
             return told
-        one, two, of, place, known = [], [], [], [], []
-        owners, base = [], 0
+        of, place, known, texts, owners, base = [], [], [], [], [], 0
         for load in table.column("load"):
             strings, info, own = _unframe(unpack.decompress(load.as_py()))
-            words = Words(*buffer_of(strings))
-            heads, x, y = _window_hashes(words, window)
-            kmer = np.searchsorted(words.bounds, heads, side="right") - 1
-            one.append(x)
-            two.append(y)
-            of.append((base + info[kmer, 0]).astype(np.int32))
-            place.append((info[kmer, 1] + heads - words.bounds[kmer]).astype(np.int32))
-            known.append(info[kmer, 2] != 0)
+            info[:, 0] += base
+            texts.append(strings)
+            of.append(info)
             owners.append(own)
             base += own.num_rows
-        one, two, of, place, known = (np.concatenate(c) for c in (one, two, of, place, known))
-        order, starts, counts = _groups(one, two)
+        info = np.concatenate(of)
+        buf, offs = buffer_of(pa.chunked_array(texts).cast(pa.large_binary()))
+        del texts, table
+        words = Words(buf, offs)
+        heads = _heads(words, window)
+        order, starts, counts = _groups(run_hashes(words.hashes(), window)[heads], words, buf.tobytes(), heads, window)
+        kmer = np.searchsorted(words.bounds, heads, side="right") - 1
+        of, known = info[kmer, 0].astype(np.int32), info[kmer, 2] != 0
+        place = (info[kmer, 1] + heads - words.bounds[kmer]).astype(np.int32)
         hit = order[np.repeat(counts, counts) > 1]
         hit = hit[~known[hit]]
         hit = hit[np.lexsort((place[hit], of[hit]))]
