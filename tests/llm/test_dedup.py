@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vicinal.llm import graph, ngram_join, substring_dedup
+from vicinal.llm import graph, ngram_join, registry, substring_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -91,7 +91,7 @@ def test_graph(spark):
 def test_forest_of_many_sets():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, 25)).astype(np.uint64) for _ in range(50)]
-    u, v = ngram_join.link_forest(np.arange(50), sets, 45, 100)
+    u, v = ngram_join.link_forest(np.arange(50), sets, [sets, [s[: len(s) - -(-45 * len(s) // 100) + 1] for s in sets]], 45, 100)
     link = [[100 * len(set(a) & set(b)) >= 45 * len(set(a) | set(b)) for b in sets] for a in sets]
     root = list(range(50))
     for _ in range(50):
@@ -125,3 +125,55 @@ def test_repeats_match_brute_force(spark, window, piece, monkeypatch):
 
 def test_repeats_of_an_empty_table(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), 5).count() == 0
+
+
+def _thue_morse(n):
+    """The Thue-Morse word of 2^n letters and its complement."""
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def _sf(spark, path, texts):
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("n", [10, 11])
+def test_thue_morse_words_stay_apart(spark, tmp_path, n):
+    one, two = _thue_morse(n)
+    same = " ".join(f"w{i}" for i in range(34))
+    sf = _sf(spark, tmp_path, [f"{same} {one}", f"{same} {two}", f"x y z {one}", f"x y z {two}"])
+    got = registry.op10_substring_dedup(spark, sf).collect()
+    assert len(got) == 4 and all(r.n_removed == 0 for r in got)
+    got = {r.doc_id: r for r in registry.op3_ngram_join(spark, sf).collect()}
+    assert got[2].component_id == 2 and got[3].component_id == 3
+    ids = {}
+    for r in registry.op7_packing(spark, sf).collect():
+        ids.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    assert sorted(ids[2]) != sorted(ids[3])
+
+
+def test_equal_hashes_are_told_apart():
+    texts = [t for t in _texts() if t is None or len(t) < 2000]
+    buf = " ".join(t or "" for t in texts).encode()
+    w = substring_dedup.Words(np.frombuffer(buf, np.uint8), np.array([0, len(buf)]))
+    heads = substring_dedup._heads(w, 8)
+    order, starts, counts = substring_dedup._groups(np.zeros(len(heads), np.uint64), w, buf, heads, 8)
+    seen = collections.Counter(tuple(buf.split()[i : i + 8]) for i in heads)
+    assert sorted(counts.tolist()) == sorted(seen.values())
+    for s, c in zip(starts.tolist(), counts.tolist(), strict=True):
+        assert len({tuple(buf.split()[i : i + 8]) for i in heads[order[s : s + c]][:50]}) == 1
+
+
+def test_frequent_runs_only_move_windows(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "COMMON", 2)
+    phrase = "of the and to"
+    rng = random.Random(9)
+    texts = [" ".join(f"{phrase} {rng.choice('abcdefgh')}{rng.randint(0, 9)}" for _ in range(60)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert len(substring_dedup.frequent_runs(df, 6, "text", 4)) >= 1
+    got = substring_dedup.remove_repeats(df, 6).orderBy("doc_id").collect()
+    assert [list(r.kept_words) for r in got] == _kept(texts, 6)

@@ -88,5 +88,5 @@ def test_words_and_grams():
     _, _, buf, offs = next(slices(col))
     w = Words(buf, offs)
     grams, docs = gram_hashes(w.hashes(lower=True), w.bounds, 2)
-    assert docs.tolist() == [0, 0, 3, 4, 4] and len(set(grams.tolist())) == 5
+    assert sorted(docs.tolist()) == [0, 0, 3, 4, 4] and len(set(grams.tolist())) == 5
     assert hashlib  # texts are hashed by value elsewhere

@@ -9,14 +9,17 @@ A sample under one random order, of that length, is therefore enough to look at:
 a node of whose sample fewer than l shingles occur in another node's sample
 links with nothing. Of what occurs elsewhere, each of several orders (rare
 shingles first, in classes of different width, ties by different hashes) again
-has a prefix in which two nodes that link must meet. Nodes that meet, directly
-or by way of others, under one order have one label of that order; two nodes are
-compared only if all their labels agree, which intersects the filters. Sizes of
-sets that link differ by a bounded factor: labels are drawn up within classes of
-size, of which a node is in its own and the next, so that chains end early.
-
-Groups that are left are compared exactly, in blocks of bounded size; a task
-returns a spanning forest of the links it finds, never all pairs.
+has a prefix in which two nodes that link must meet.
+
+That filter is taken twice. Nodes that meet, directly or by way of others, under
+one order have one label of that order, and only nodes all of whose labels agree
+come to one group. Sizes of sets that link differ by a bounded factor: labels are
+drawn up within classes of size, of which a node is in its own and the next, so
+that chains end early. Inside a group, in blocks of bounded size, the pairs that
+share a prefix token under each order are found by matrix products; the filters
+of all orders are intersected, and only pairs that pass all are verified on their
+whole sets. A task returns a spanning forest of the links it finds, never all
+pairs.
 """
 
 from __future__ import annotations
@@ -30,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .runtime import materialise, parallelism, release
+from .runtime import materialise, remove
 from .textkit import Words, gram_hashes, mix64, slices, unique_per_doc
 
 #: One shingle in so many by which samples are longer than a plain prefix.
 SURPLUS = 16
-#: Orders under which nodes must meet, and nodes of a block.
-ORDERS, BLOCK = 3, 1024
+#: Orders under which nodes must meet; nodes of a block, and shingles of all its sets, about.
+ORDERS, BLOCK, BLOCK_SHINGLES = 3, 1024, 1 << 21
 #: More than there are classes of size.
 CLASSES = 1_000_000
 #: Sets that a task remembers to have sent a sample of.
@@ -111,9 +114,10 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
 
 
-def _candidates(samples: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """g, u, v: for each order and class of size, every node of a prefix token and the least node of that token."""
+def _prefixes(samples: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """node, n, size (class), p: for each order the tokens of the node's prefix. Nodes that can link with none are left out."""
     shared = samples.groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df")
+    shared = materialise(shared, "shared")
     met = samples.join(shared, "token").groupBy("s1").agg(F.collect_set(F.struct("df", "token")).alias("k"))
     need = F.lit(1) + F.floor(F.floor((F.lit(num) * F.col("n") + F.lit(den - 1)) / F.lit(den)) / F.lit(SURPLUS))
     kept = met.join(nodes, "s1").withColumn("m", (F.size("k") - need + 1).cast("int")).where("m > 0")
@@ -124,38 +128,43 @@ def _candidates(samples: DataFrame, nodes: DataFrame, num: int, den: int) -> Dat
     ]
     # one class to another: the factor by which sizes of sets that link may differ, and a hair for rounding
     size = F.floor(F.log(F.col("n").cast("double")) / (max(math.log(den / num), 1e-6) * (1 + 1e-9))).cast("int")
-    prefix = lambda i: F.slice(F.array_sort(F.transform("k", key[i])), F.lit(1), F.col("m"))
-    spot = lambda i, c: F.transform(prefix(i), lambda x: F.struct((F.lit(i * CLASSES + c) + size).alias("g"), x["t"].alias("token")))
-    spread = materialise(kept.select("node", F.explode(F.concat(*[spot(i, c) for i in range(ORDERS) for c in (0, 1)])).alias("x")).select("x.g", "x.token", "node"), "prefixes")
-    release(spread.sparkSession)
-    least = spread.groupBy("g", "token").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w").select("g", "token", "v")
-    return spread.join(least, ["g", "token"]).select("g", F.col("node").alias("u"), "v").where("u <> v").distinct()
+    prefix = lambda i: F.transform(F.slice(F.array_sort(F.transform("k", key[i])), F.lit(1), F.col("m")), lambda x: x["t"])
+    made = materialise(kept.select("node", "n", size.alias("size"), F.array(*[prefix(i) for i in range(ORDERS)]).alias("p")), "prefixes")
+    remove(shared)
+    return made
 
 
-def _blocks(labels: DataFrame) -> DataFrame:
-    """node, grp, blocks, block: groups of nodes all of whose labels agree, dealt to blocks."""
-    labels = labels.withColumn("size", F.col("g") % CLASSES)
-    agreed = labels.groupBy("node", "size").agg(F.count("*").alias("c"), F.sort_array(F.collect_list(F.struct("g", "root"))).alias("ls")).where(F.col("c") == ORDERS)
-    named = agreed.select("node", F.xxhash64("ls").alias("grp"))
-    sizes = named.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
-    dealt = named.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    return dealt.select("node", "grp", "blocks", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("block"))
+def _meetings(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """g, u, v: for each order and class of size, every node of a prefix token and the least node of that token; and a table to remove."""
+    spot = lambda i, c: F.transform(F.col("p")[i], lambda t: F.struct((F.lit(i * CLASSES + c) + F.col("size")).alias("g"), t.alias("token")))
+    spread = prefixes.select("node", F.explode(F.concat(*[spot(i, c) for i in range(ORDERS) for c in (0, 1)])).alias("x")).select("x.g", "x.token", "node")
+    least = materialise(spread.groupBy("g", "token").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w").select("g", "token", "v"), "meetings")
+    return spread.join(least, ["g", "token"]).select("g", F.col("node").alias("u"), "v").where("u <> v").distinct(), least
 
 
-def link_forest(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes that link with a smaller one, directly or through others, and the least node each reaches."""
-    order = np.argsort(nodes, kind="stable")
-    nodes, sets = nodes[order], [sets[i] for i in order]
-    n = len(nodes)
-    size = np.array([len(s) for s in sets])
-    tokens = np.concatenate(sets)
-    who = np.repeat(np.arange(n), size)
+def _blocks(labels: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """node, n, p, grp, blocks, block: groups of nodes all of whose labels agree, dealt to blocks."""
+    labels = labels.withColumn("size", F.col("g") % CLASSES)
+    agreed = labels.groupBy("node", "size").agg(F.count("*").alias("c"), F.sort_array(F.collect_list(F.struct("g", "root"))).alias("ls")).where(F.col("c") == ORDERS)
+    named = materialise(agreed.select("node", F.xxhash64("ls").alias("grp")).join(prefixes.select("node", "n", "p"), "node"), "groups")
+    sizes = named.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("all")).where("size > 1")
+    sizes = materialise(sizes.select("grp", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "sizes")
+    made = materialise(named.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")), "blocks")
+    remove(named, sizes)
+    return made
+
+
+def _common(rows: list[np.ndarray]) -> np.ndarray:
+    """How many elements each pair of rows shares; elements of a row are distinct."""
+    n = len(rows)
+    tokens = np.concatenate(rows) if n else np.zeros(0, np.uint64)
+    who = np.repeat(np.arange(n), [len(x) for x in rows])
     by = np.argsort(tokens, kind="stable")
     t, w = tokens[by], who[by]
-    starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, int)
     counts = np.diff(np.append(starts, len(t)))
     common = np.zeros((n, n), np.float32)
-    for d in range(2, min(n, 8) + 1):  # tokens of few sets: every pair of them once
+    for d in range(2, min(n, 8) + 1):  # elements of few rows: every pair of them once
         at = starts[counts == d]
         for i in range(d):
             for j in range(i + 1, d):
@@ -169,10 +178,30 @@ def link_forest(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int) -
         pos = np.repeat(starts[part] - (np.cumsum(counts[part]) - counts[part]), counts[part]) + np.arange(len(col))
         inc[w[pos], col] = 1
         common += inc @ inc.T
-    common = common.astype(np.int64)
-    union = size[:, None] + size[None, :] - common
-    link = den * common >= num * union
-    np.fill_diagonal(link, True)
+    return common
+
+
+def link_forest(nodes: np.ndarray, sets: list[np.ndarray], prefixes: list[list[np.ndarray]], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes that link with a smaller one, directly or through others, and the least node each reaches.
+
+    prefixes: for each order the prefix of each node. Only pairs that share a
+    token under every order are verified.
+    """
+    order = np.argsort(nodes, kind="stable")
+    nodes, sets = nodes[order], [sets[i] for i in order]
+    n = len(nodes)
+    size = np.array([len(s) for s in sets])
+    candidate = ~np.eye(n, dtype=bool)
+    for prefix in prefixes:
+        candidate &= _common([prefix[i] for i in order]) > 0
+    link = np.eye(n, dtype=bool)
+    i, j = np.nonzero(np.triu(candidate))
+    if len(i) > 4 * n:
+        common = _common(sets)[i, j].astype(np.int64)
+    else:
+        common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    good = den * common >= num * (size[i] + size[j] - common)
+    link[i[good], j[good]] = link[j[good], i[good]] = True
     root = np.arange(n)
     while True:
         new = np.where(link, root[None, :], n).min(axis=1)
@@ -186,40 +215,49 @@ def link_forest(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int) -
 
 def _verified(docs: DataFrame, blocks: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """u, v: forests of the links inside each pair of blocks of a group."""
-    wanted = blocks.join(nodes, "node").select(F.col("node").alias("doc_id"), "s1", "s2", "grp", "blocks", "block")
+    wanted = blocks.join(nodes.select("node", "s1", "s2"), "node").select(F.col("node").alias("doc_id"), "s1", "s2", "grp", "blocks", "block", "p")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["grp", "blocks", "block", "p"]
         for batch in batches:
             for a, b, values, bounds in _sets(batch.column("text"), k):
                 one, two = _signatures(values, bounds)
                 part = batch.slice(a, b - a)
                 same = (one == part.column("s1").to_numpy()) & (two == part.column("s2").to_numpy())
                 blobs = [values[s:e].tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                out = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grp"), part.column("blocks"), part.column("block"), pa.array(blobs, pa.binary())], ["node", "grp", "blocks", "block", "set"])
+                out = pa.RecordBatch.from_arrays([part.column("doc_id"), *(part.column(c) for c in names), pa.array(blobs, pa.binary())], ["node", *names, "set"])
                 yield out.filter(pa.array(same))
 
-    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "s1", "s2", "grp", "blocks", "block").mapInArrow(to_sets, "node long, grp long, blocks int, block int, set binary")
+    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "s1", "s2", "grp", "blocks", "block", "p").mapInArrow(to_sets, "node long, grp long, blocks int, block int, p array<array<long>>, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = sets.select("node", "grp", "set", "block", other).select("node", "grp", "set", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    buckets = 8 * parallelism(docs.sparkSession)
-
-    def compare(table: pa.Table) -> pa.Table:
-        grp, i, j = (table.column(c).to_numpy() for c in ("grp", "i", "j"))
-        order = np.lexsort((j, i, grp))
-        grp, i, j = grp[order], i[order], j[order]
-        node = table.column("node").to_numpy()[order]
-        edge = np.flatnonzero(np.r_[True, (grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True]) if len(grp) else np.zeros(1, int)
-        blobs = table.column("set").combine_chunks()
-        us, vs = [], []
-        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if e - s > 1:
-                u, v = link_forest(node[s:e], [np.frombuffer(blobs[x].as_buffer(), np.uint64) for x in order[s:e].tolist()], num, den)
-                us.append(u)
-                vs.append(v)
-        flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"u": flat(us), "v": flat(vs)})
-
-    return paired.withColumn("bucket", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(compare, "u long, v long")
+    paired = sets.select("node", "grp", "set", "p", "block", other).select("node", "grp", "set", "p", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One pair of blocks at a time; its rows follow each other."""
+        held, name = [], None
+
+        def forest() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            node = table.column("node").to_numpy()
+            rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set").combine_chunks()]
+            of = table.column("p").to_pylist()
+            u, v = link_forest(node, rows, [[np.array(x[o], np.int64) for x in of] for o in range(ORDERS)], num, den)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("grp", "i", "j")], axis=1)
+            edge = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True]) if len(keys) else np.zeros(1, int)
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                key = tuple(keys[s])
+                if key != name:
+                    if sum(x.num_rows for x in held) > 1:
+                        yield forest()
+                    held, name = [], key
+                held.append(batch.slice(s, e - s))
+        if sum(x.num_rows for x in held) > 1:
+            yield forest()
+
+    return paired.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(compare, "u long, v long")
 
 
 def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,19 +268,24 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     links reach, the own id without links. Null and empty texts have no shingles
     and link with nothing, not even each other. Rows without an id get no
     component and link with nothing; ids are taken to be unique, and rows that
-    repeat an id are judged each by its own text. An empty table gives an empty
-    result.
+    repeat an id are judged each by its own text. A text is taken whole, however
+    long; a task holds the shingles of a run of texts, about 16 bytes a word. An
+    empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     light = materialise(_described(docs, k), "sets")
     whole = light.where("n > 0 AND doc_id IS NOT NULL")
     nodes = materialise(whole.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")), "nodes")
-    edges = _candidates(_sampled(docs.where(F.col("doc_id").isNotNull()), k, num, den), nodes, num, den)
-    blocks = materialise(_blocks(connected_components(edges)), "blocks")
-    release(docs.sparkSession)
+    samples = materialise(_sampled(docs.where(F.col("doc_id").isNotNull()), k, num, den), "samples")
+    prefixes = _prefixes(samples, nodes, num, den)
+    remove(samples)
+    edges, least = _meetings(prefixes)
+    blocks = _blocks(connected_components(edges), prefixes)
+    remove(least, prefixes)
     links = _verified(docs, blocks, nodes, k, num, den).select(F.lit(0).alias("g"), "u", "v")
     roots = connected_components(links).select("node", "root")
-    placed = nodes.join(roots, "node", "left").select("s1", "s2", "n", F.coalesce("root", "node").alias("root"))
+    placed = materialise(nodes.join(roots, "node", "left").select("s1", "s2", "n", F.coalesce("root", "node").alias("root")), "placed")
+    remove(blocks)
     both = light.join(placed, ["s1", "s2", "n"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return both.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
@@ -251,8 +294,10 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs (with doc_id, text) with the one document of each component whose id is the component's.
 
-    Documents without words stay all, as do rows without an id; columns are
-    those of docs.
+    Documents without words stay all, as do rows without an id. Ids are taken to
+    be unique: rows that repeat the id of a component all stay, and all rows of an
+    id go if one of them belongs to another id's component. Columns are those of
+    docs.
     """
     found = components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_vn_id")).distinct()
     return docs.join(found, F.col("doc_id") == F.col("_vn_id"), "left_anti")
