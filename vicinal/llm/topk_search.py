@@ -1,16 +1,20 @@
 """Exact top-k inner-product search by no-random-access aggregation.
 
-Every dimension of a block of candidates is a list sorted by component. A query
-reads its lists from the end that its own weight favours, all to one depth at a
-time. At a depth each candidate has a lower bound (what was read, plus the worst
-value of each list that has not shown it) and an upper bound (what was read,
-plus the value at which that list now stands). Reading stops when no candidate
-outside the current best k can still reach the k-th lower bound; the exact
-scores of those left are then resolved, and ties go to the smaller id.
+Every dimension of a block of candidates is a list sorted by component. The
+queries of a block read all lists in step, each list from the end that the
+query's own weight favours, one stretch of entries after the other. What is read
+is added to the candidates' sums at once. A candidate's lower bound is its sum
+plus the worst value of each list that has not shown it, its upper bound the sum
+plus the value at which that list now stands. A query stops reading when no
+candidate outside the current best k can still reach the k-th lower bound; the
+exact scores of those left are then resolved, and ties go to the smaller id.
 
 Queries and candidates are dealt to blocks of bounded size; each pair of a query
 block and a candidate block is one small task, and the k best of each query are
-merged over its candidate blocks.
+merged over its candidate blocks. Exactness asks that every candidate meets every
+block of queries: candidates travel once for each of these. Where vectors have
+many dimensions and no structure, bounds stay wide, and queries read most of the
+lists before they stop; `depth` in the result says how much.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .runtime import materialise
 
-#: Depths, as shares of a list, at which the bounds are looked at.
-DEPTHS = (0.5, 0.75, 0.875, 0.9375)
+#: Stretches that a list is read in, and after how many of them bounds are first looked at.
+STRETCHES, FIRST_LOOK = 32, 12
 
 
 def _score_type(q: np.ndarray, x: np.ndarray) -> type:
@@ -34,50 +38,71 @@ def _score_type(q: np.ndarray, x: np.ndarray) -> type:
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
-def nra_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of one block for each query: query index, candidate index, score.
+def nra_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of one block for each query: query index, candidate index, score, depth.
 
     q, x: int64 matrices. A candidate with the query's own id takes no part.
+    depth: the share of the lists that the query had read when it stopped.
     Scores are exact while they fit 64-bit integers.
     """
-    n = len(cid)
+    n, dims = x.shape
     kind = _score_type(q, x)
-    exact = x.astype(kind)
-    alive = cid[None, :] != qid[:, None]
-    if n > 4 * k and kind is not np.int64:
-        lists = np.sort(exact, axis=0)
-        worst_up, worst_down = lists[0], lists[-1]
-        up, down = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
-        weights = np.concatenate([up, down], axis=1)
-        for share in DEPTHS:
-            depth = max(int(n * share), 1)
-            at_up, at_down = lists[n - depth], lists[depth - 1]
-            upper = weights @ np.concatenate([np.maximum(exact, at_up), np.minimum(exact, at_down)], axis=1).T
-            lower = weights @ np.concatenate([np.where(exact >= at_up, exact, worst_up), np.where(exact <= at_down, exact, worst_down)], axis=1).T
-            lower[~alive] = -np.inf
-            kth = np.partition(lower, n - k, axis=1)[:, n - k]
-            alive &= upper >= kth[:, None]
-            if alive.sum() <= 4 * k * len(q):
-                break
-    rows, cols = np.nonzero(alive)
+    order = np.argsort(x, axis=0, kind="stable")  # each dimension's list, ascending
+    lists = np.take_along_axis(x, order, axis=0).astype(kind)
+    # a list read from the top serves queries of positive weight, from the bottom those of negative weight
+    weights = (np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind))
+    ways = ((lists[::-1], order[::-1]), (lists, order))
+    sums = np.zeros((n, len(q)), kind)
+    shown = (np.zeros((n, dims), kind), np.zeros((n, dims), kind))
+    own = cid[:, None] == qid[None, :]
+    reading, alive, depth = np.arange(len(q)), ~own, np.ones(len(q))
+    least = np.array(-np.inf if kind is not np.int64 else np.iinfo(np.int64).min, kind)
+    edges = [n * i // STRETCHES for i in range(STRETCHES + 1)]
+    for stretch in range(STRETCHES):
+        a, b = edges[stretch], edges[stretch + 1]
+        if a == b or not len(reading):
+            continue
+        for (values, who), w, seen in zip(ways, weights, shown, strict=True):
+            for d in range(dims):
+                at = who[a:b, d]  # a candidate stands once in a list
+                sums[at] += values[a:b, d, None] * w[None, :, d]
+                seen[at, d] = 1
+        if stretch + 1 < FIRST_LOOK or b == n:
+            continue
+        worst = [values[-1] for values, _ in ways]
+        stand = [values[b - 1] for values, _ in ways]
+        missing = lambda level: sum((1 - seen) @ (w * v).T for w, v, seen in zip(weights, level, shown, strict=True))  # noqa: B023, E731
+        upper = sums + missing(stand)
+        lower = np.where(own[:, reading], least, sums + missing(worst))
+        if n > k:
+            kth = np.partition(lower, n - k, axis=0)[n - k]
+            alive[:, reading] &= upper >= kth
+        done = alive[:, reading].sum(axis=0) <= k
+        if done.any():
+            depth[reading[done]] = b / n
+            reading, sums = reading[~done], sums[:, ~done]
+            weights = tuple(w[~done] for w in weights)
+    cols, rows = np.nonzero(alive)
     scores = np.empty(len(rows), dtype=np.int64)
     step = 1 << 17
     for i in range(0, len(rows), step):
         r, c = rows[i : i + step], cols[i : i + step]
         scores[i : i + step] = np.einsum("ij,ij->i", q[r], x[c])
-    order = np.lexsort((cid[cols], -scores, rows))
-    rows, cols, scores = rows[order], cols[order], scores[order]
-    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    keep = rank < k
-    return rows[keep], cols[keep], scores[keep]
+    by = np.lexsort((cid[cols], -scores, rows))
+    rows, cols, scores = rows[by], cols[by], scores[by]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], cols[keep], scores[keep], depth[rows[keep]]
 
 
 def _matrix(blobs: pd.Series, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype=">i8").astype(np.int64).reshape(len(blobs), width) if len(blobs) else np.zeros((0, width), np.int64)
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int, query_block: int = 2048, candidate_block: int = 4096) -> DataFrame:
-    """The k largest inner products of each query: query_id, rank, vec_id, score.
+def top_k(queries: DataFrame, candidates: DataFrame, k: int, query_block: int = 512, candidate_block: int = 4096) -> DataFrame:
+    """The k largest inner products of each query: query_id, rank, vec_id, score, depth.
+
+    depth: the share of its lists that the query had read in the block of the
+    candidate when its bounds were enough.
 
     queries, candidates: columns id (long), v (array of long). Ids that are null,
     vectors that are null, and elements that are null take no part; vectors of
@@ -91,7 +116,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, query_block: int =
         return df.select("id", F.size("v").alias("d"), packed.alias("b"))
 
     q, c = materialise(ready(queries), "topk-queries"), materialise(ready(candidates), "topk-candidates")
-    nq, nc = q.count(), c.count()
+    nq, nc = q.count(), c.count()  # of Parquet tables: read off their footers
     qb, cb = max(1, math.ceil(nq / query_block)), max(1, math.ceil(nc / candidate_block))
     if nc:
         cb = max(cb, min(16, math.ceil(nc / 512)))
@@ -101,16 +126,16 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, query_block: int =
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "depth": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "int64", "depth": "float64"})
         width = int(a["d"].iloc[0])
         qid, cid = a["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
-        r, s, score = nra_block(qid, _matrix(a["b"], width), cid, _matrix(b["b"], width), k)
-        return pd.DataFrame({"query_id": qid[r], "vec_id": cid[s], "score": score})
+        r, s, score, depth = nra_block(qid, _matrix(a["b"], width), cid, _matrix(b["b"], width), k)
+        return pd.DataFrame({"query_id": qid[r], "vec_id": cid[s], "score": score, "depth": depth})
 
     keys = ("qb", "cb", "d")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, "query_id long, vec_id long, score long")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, "query_id long, vec_id long, score long, depth double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "depth")
 
 
 def scaled(df: DataFrame, id_col: str, vec_col: str, factor: int = 64) -> DataFrame:
