@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -86,7 +87,7 @@ def test_archives_round_trip(spark, tmp_path):
     trap = "<p>WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n</p>"
     pages = [(3, "http://a/x y\n", "<p>hi</p>"), (1, "http://b", "<p>hi</p>"), (2, None, None), (5, "u", ""), (7, "u", trap), (8, "u", trap), (9, "v", "ü" * 100000), (1, "http://b", "<p>hi</p>"), (None, "n", "<p>hi</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit("clash")).repartition(2)
-    warc.write_archives(df, str(tmp_path / "w"), records_per_file=3, compressed=False)
+    warc.write_archives(df, str(tmp_path / "w"), classes=((1000, 3), (None, 1)), compressed=False)
     got = warc.read_archives(spark, str(tmp_path / "w")).collect()
     first = {}
     for i, _, h in pages:
@@ -110,3 +111,29 @@ def test_chain_ignores_heads_inside_payloads():
     assert len(found) == 4 and [bytes(f[3]) for f, s in zip(found, seen, strict=True) if s][::2] == [b"one", b""]
     with pytest.raises(ValueError):
         warc.reachable(np.array([0]), np.array([5]), 9)
+
+
+def test_damaged_archives_are_errors(spark, tmp_path):
+    def read(name, data):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+        return warc.read_archives(spark, str(tmp_path / name)).collect()
+
+    def record(payload, digest):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a\r\n /b\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (digest, len(block), block)
+
+    good = base64.b32encode(hashlib.sha1(b"hello").digest())
+    (row,) = read("good", record(b"hello", good))
+    assert row.payload == "hello" and row.url == "http://a /b"  # a folded line
+    with pytest.raises(Exception, match="lacks its digest"):
+        read("changed", record(b"hallo", good))
+    with pytest.raises(Exception, match="breaks before its end"):
+        read("garbage", b"no archive at all")
+    with pytest.raises(Exception, match="breaks before its end"):
+        read("cut", record(b"hello", good) + record(b"hello", good)[:-9])
+    with pytest.raises(Exception, match="EOFError|end-of-stream"):
+        read("gzip", gzip.compress(record(b"hello", good) * 99)[:-20])
+    assert read("empty", b"") == []
+    trapped = record(b"x" + record(b"hallo", good), base64.b32encode(hashlib.sha1(b"x" + record(b"hallo", good)).digest()))
+    assert len(read("trap", trapped)) == 1  # a damaged record inside a payload is none
