@@ -2,12 +2,12 @@
 
 Every dimension of a block of candidates is a list sorted by component. The
 queries of a block read all lists in step, each list from the end that the
-query's own weight favours, one stretch of entries after the other. What is read
-is added to the candidates' sums at once. A candidate's lower bound is its sum
-plus the worst value of each list that has not shown it, its upper bound the sum
-plus the value at which that list now stands. A query stops reading when no
-candidate outside the current best k can still reach the k-th lower bound; the
-exact scores of those left are then resolved, and ties go to the smaller id.
+query's own weight favours, one stretch of entries after the other, half of what
+is left. What a stretch shows is added to the candidates' lower bounds, in which
+a list that has not shown a candidate counts with its worst value; the upper
+bound has the value at which that list now stands instead. A query stops reading
+when none but a few times k candidates can still reach the k-th lower bound; the
+exact scores of these finalists are then resolved, and ties go to the smaller id.
 
 Queries and candidates are dealt to blocks of bounded size; each pair of a query
 block and a candidate block is one small task, and the k best of each query are
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .runtime import materialise
 
-#: Stretches that a list is read in, and after how many of them bounds are first looked at.
-STRETCHES, FIRST_LOOK = 32, 12
+#: A query stops reading when so many times k candidates at most are left.
+FINALISTS = 4
 
 
 def _score_type(q: np.ndarray, x: np.ndarray) -> type:
@@ -47,42 +47,34 @@ def nra_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k:
     """
     n, dims = x.shape
     kind = _score_type(q, x)
-    order = np.argsort(x, axis=0, kind="stable")  # each dimension's list, ascending
-    lists = np.take_along_axis(x, order, axis=0).astype(kind)
-    # a list read from the top serves queries of positive weight, from the bottom those of negative weight
-    weights = (np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind))
-    ways = ((lists[::-1], order[::-1]), (lists, order))
-    sums = np.zeros((n, len(q)), kind)
-    shown = (np.zeros((n, dims), kind), np.zeros((n, dims), kind))
-    own = cid[:, None] == qid[None, :]
-    reading, alive, depth = np.arange(len(q)), ~own, np.ones(len(q))
+    lists = np.sort(x, axis=0).astype(kind)  # each dimension's list, ascending
+    place = np.argsort(np.argsort(x, axis=0, kind="stable"), axis=0)
+    # the first half of the columns are the lists read from the top, for weights above 0, the second those read from the bottom
+    place = np.concatenate([n - 1 - place, place], axis=1)
+    both = np.concatenate([x, x], axis=1).astype(kind)
+    weights = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1).astype(kind)
+    worst = np.concatenate([lists[:1], lists[-1:]], axis=1) if n else np.zeros((1, 2 * dims), kind)
+    own = cid[None, :] == qid[:, None]
     least = np.array(-np.inf if kind is not np.int64 else np.iinfo(np.int64).min, kind)
-    edges = [n * i // STRETCHES for i in range(STRETCHES + 1)]
-    for stretch in range(STRETCHES):
-        a, b = edges[stretch], edges[stretch + 1]
-        if a == b or not len(reading):
+    lower = np.where(own, least, weights @ worst.T)
+    reading, alive, depth, done = np.arange(len(q)), ~own, np.ones(len(q)), 0
+    while done < n and len(reading):
+        stretch = max((n - done) // 2, 1) if n - done > k else n - done  # half of what is left, to the end
+        read = (place >= done) & (place < done + stretch)
+        done += stretch
+        lower += weights @ np.where(read, both - worst, np.array(0, kind)).T
+        if n <= k:
             continue
-        for (values, who), w, seen in zip(ways, weights, shown, strict=True):
-            for d in range(dims):
-                at = who[a:b, d]  # a candidate stands once in a list
-                sums[at] += values[a:b, d, None] * w[None, :, d]
-                seen[at, d] = 1
-        if stretch + 1 < FIRST_LOOK or b == n:
-            continue
-        worst = [values[-1] for values, _ in ways]
-        stand = [values[b - 1] for values, _ in ways]
-        missing = lambda level: sum((1 - seen) @ (w * v).T for w, v, seen in zip(weights, level, shown, strict=True))  # noqa: B023, E731
-        upper = sums + missing(stand)
-        lower = np.where(own[:, reading], least, sums + missing(worst))
-        if n > k:
-            kth = np.partition(lower, n - k, axis=0)[n - k]
-            alive[:, reading] &= upper >= kth
-        done = alive[:, reading].sum(axis=0) <= k
-        if done.any():
-            depth[reading[done]] = b / n
-            reading, sums = reading[~done], sums[:, ~done]
-            weights = tuple(w[~done] for w in weights)
-    cols, rows = np.nonzero(alive)
+        stand = np.concatenate([lists[n - done : n - done + 1], lists[done - 1 : done]], axis=1)
+        upper = lower + weights @ np.where(place >= done, stand - worst, np.array(0, kind)).T
+        kth = np.partition(lower, n - k, axis=1)[:, n - k]
+        still = upper >= kth[:, None]
+        alive[reading] &= still
+        stop = alive[reading].sum(axis=1) <= FINALISTS * k
+        if stop.any():
+            depth[reading[stop]] = done / n
+            reading, lower, weights = reading[~stop], lower[~stop], weights[~stop]
+    rows, cols = np.nonzero(alive)
     scores = np.empty(len(rows), dtype=np.int64)
     step = 1 << 17
     for i in range(0, len(rows), step):
