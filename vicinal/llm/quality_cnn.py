@@ -3,7 +3,7 @@
 A text's UTF-8 bytes are cut to overlapping chunks that cover all of it. In each
 chunk learned filters slide over embedded bytes, every filter is max-pooled, and
 a small dense layer gives the chunk's evidence; the document's probability
-combines the evidence of all its chunks.
+combines the evidence of all its chunks. Filters start at every STRIDE-th byte.
 """
 
 from __future__ import annotations
@@ -27,13 +27,17 @@ EMBED, FILTERS, HIDDEN = 8, 64, 32
 PASS = 128
 
 
-def chunk_matrix(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All chunks of all rows (uint8, zero-padded) and the row of each; an empty text has one chunk."""
-    sizes = np.diff(offs)
-    counts = np.maximum(1, -(-(sizes - (CHUNK - STEP)) // STEP))
-    row = np.repeat(np.arange(len(sizes)), counts)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    start = offs[:-1][row] + nth * STEP
+def chunk_counts(offs: np.ndarray) -> np.ndarray:
+    """Chunks of each row; an empty text has one."""
+    return np.maximum(1, -(-(np.diff(offs) - (CHUNK - STEP)) // STEP))
+
+
+def chunk_matrix(buf: np.ndarray, offs: np.ndarray, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks low to high (all: None) of all rows (uint8, zero-padded) and the row of each."""
+    ends = np.cumsum(chunk_counts(offs))
+    nth = np.arange(low, int(ends[-1]) if high is None else min(high, int(ends[-1]))) if len(ends) else np.zeros(0, int)
+    row = np.searchsorted(ends, nth, side="right")
+    start = offs[:-1][row] + (nth - np.append(0, ends)[row]) * STEP
     at = start[:, None] + np.arange(CHUNK)
     inside = at < offs[1:][row][:, None]
     padded = np.append(buf, np.uint8(0))
@@ -101,11 +105,11 @@ class Network:
         return float(loss), g
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 11, rate: float = 3e-3, chunks_per_text: int = 6, batch: int = 64, zero_weight: float = 2.5) -> Network:
+def train(chunks_of: list[np.ndarray], labels: list[int], epochs: int = 6, seed: int = 11, rate: float = 3e-3, chunks_per_text: int = 6, batch: int = 64, zero_weight: float = 2.5) -> Network:
     """Adam on the log loss, label 0 weighted by zero_weight; each epoch sees up to chunks_per_text random chunks of a text.
 
-    Without texts of both labels the network stays as drawn, but gives the one
-    label's rate as its score.
+    chunks_of: the chunks of each text. Without texts of both labels the network
+    stays as drawn, but gives the one label's rate as its score.
     """
     net = Network.fresh(seed)
     y_all = np.asarray(labels, np.float32)
@@ -114,14 +118,13 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 11,
         net.p["out_b"][:] = 0 if not len(y_all) else 4.0 if y_all[0] else -4.0
         return net
     rng = np.random.Generator(np.random.PCG64(seed + 1))
-    every = list(slices(pa.array([t or "" for t in texts], pa.large_string()), 1 << 40))
-    chunks, row = chunk_matrix(every[0][2], every[0][3])
-    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    chunks = np.concatenate(chunks_of)
+    bounds = np.append(0, np.cumsum([len(c) for c in chunks_of]))
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
-    step, total = 0, epochs * (-(-len(texts) // batch))
+    step, total = 0, epochs * (-(-len(labels) // batch))
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(labels))
         for i in range(0, len(order), batch):
             mine = order[i : i + batch]
             picks = [np.arange(bounds[d], bounds[d + 1]) if bounds[d + 1] - bounds[d] <= chunks_per_text else bounds[d] + rng.choice(bounds[d + 1] - bounds[d], chunks_per_text, replace=False) for d in mine]
@@ -136,28 +139,48 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 11,
 
 
 def score_column(net: Network, column: pa.Array) -> np.ndarray:
-    """Probability of label 1 of every text of a string column; null counts as empty."""
+    """Probability of label 1 of every text of a string column; null counts as empty. Chunks are made a few at a time."""
     out = np.empty(len(column))
     for a, b, buf, offs in slices(column, 1 << 18):
-        chunks, row = chunk_matrix(buf, offs)
-        z = np.bincount(row, weights=net.evidence(chunks), minlength=b - a) / np.bincount(row, minlength=b - a)
-        out[a:b] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        counts, z = chunk_counts(offs), np.zeros(b - a)
+        for low in range(0, int(counts.sum()), 8 * PASS):
+            chunks, row = chunk_matrix(buf, offs, low, low + 8 * PASS)
+            z += np.bincount(row, weights=net.evidence(chunks), minlength=b - a)
+        out[a:b] = 1 / (1 + np.exp(-np.clip(z / counts, -30, 30)))
     return out
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """Texts and labels of up to `rows` labelled documents, those with the smallest hashes of their ids.
+#: Labelled rows that the network learns from at most, and chunks of each, spread evenly over its text: 100 MB in all.
+SAMPLE_ROWS, SAMPLE_CHUNKS = 4000, 48
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[np.ndarray], list[int]]:
+    """Chunks and labels of up to `rows` labelled documents, those with the smallest hashes of their ids.
 
     Ids whose crc32 (as text) is a multiple of 5 are held out. Labels that are
     null or not 0 or 1, and ids labelled both ways, are left out; of several
-    documents with one id one is taken.
+    documents with one id one is taken. Of a text of more than SAMPLE_CHUNKS
+    chunks so many come to the driver, from its start to its end.
     """
     learnt = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     clear = learnt.groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
     chosen = clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", F.col("lo").alias("y"))
     picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = sorted({r.doc_id: (r.text, r.y) for r in sorted(picked.collect(), key=lambda r: (r.doc_id, r.text))}.items())
-    return [t for _, (t, _) in got], [int(y) for _, (_, y) in got]
+    picked = picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").cast("int").alias("y"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, buf, offs in slices(batch.column("text"), 1 << 18):
+                for i in range(len(offs) - 1):
+                    own = buf[offs[i] : offs[i + 1]]
+                    n = int(chunk_counts(np.array([0, len(own)]))[0])
+                    takes = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_CHUNKS)).astype(int))
+                    made = np.concatenate([chunk_matrix(own, np.array([0, len(own)]), int(t), int(t) + 1)[0] for t in takes])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a + i, 1), batch.column("y").slice(a + i, 1), pa.array([made.tobytes()], pa.binary())], ["doc_id", "y", "chunks"])
+
+    schema = picked.select("doc_id", "y", F.lit(b"").alias("chunks")).schema
+    got = sorted((r.doc_id, bytes(r.chunks), r.y) for r in picked.mapInArrow(cut, schema).collect())
+    return [np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for _, c, _ in got], [y for _, _, y in got]
 
 
 def score_documents(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
@@ -174,10 +197,6 @@ def score_documents(docs: DataFrame, net: Network, text_col: str = "text") -> Da
     return docs.mapInArrow(run, schema)
 
 
-#: Labelled rows that the network learns from at most.
-SAMPLE_ROWS = 4000
-
-
 def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with a column score, by a network fitted on a bounded sample of labels.
 
