@@ -64,16 +64,16 @@ def marker_words(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE_ROWS,
     return [r.w for r in words.where("length(w) > 2 AND t >= 5").withColumn("odds", odds * F.sqrt("t")).where("t > n - t").orderBy(F.desc("odds"), "w").limit(keep).collect()]
 
 
-def features(docs: DataFrame, markers: list[str]) -> DataFrame:
-    """doc_id, tokens and the feature buckets of every whole text; a null text counts as empty."""
+def features(docs: DataFrame, markers: list[str], *carried: str) -> DataFrame:
+    """doc_id, tokens and the feature buckets of every whole text, and carried columns; a null text counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.greatest(F.char_length("t"), F.lit(1))
     share = lambda letters: (F.char_length("t") - F.char_length(F.translate("t", letters, ""))) / size
-    split = docs.select("doc_id", text.alias("t"), _words(text).alias("w")).withColumn("tokens", F.size("w").cast("long"))
+    split = docs.select("doc_id", *carried, text.alias("t"), _words(text).alias("w")).withColumn("tokens", F.size("w").cast("long"))
     bare = F.split(F.regexp_replace(F.lower("t"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " ")
     hits = F.size(F.array_intersect(bare, F.array(*[F.lit(m) for m in markers]))) if markers else F.lit(0)
     return split.select(
-        "doc_id", "tokens", F.least(hits, F.lit(3)).alias("f_marker"),
+        "doc_id", *carried, "tokens", F.least(hits, F.lit(3)).alias("f_marker"),
         _bucket(F.size(F.array_distinct("w")) / F.greatest("tokens", F.lit(1)), (0.2, 0.35, 0.5, 0.7)).alias("f_repeat"),
         _bucket(share("|#$%&*!~^{}<>=@"), (1e-9, 0.01, 0.03, 0.1)).alias("f_symbol"),
         _bucket(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (0.03, 0.1, 0.5)).alias("f_upper"),
@@ -167,8 +167,14 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...]
     equal posteriors. Further columns are left alone; an empty table gives an
     empty result.
     """
-    docs, labelled = docs.select("doc_id", "text"), materialise(_label(labels), "mixing-labels")
-    rows = materialise(features(docs, marker_words(docs, labelled)), "mixing-features")
+    rows, posterior, priced = _fitted(docs.select("doc_id", "text"), labels, targets, kept)
+    return rows.withColumn("posterior", posterior).select("doc_id", "tokens", "posterior", priced.alias("rate"))
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...], kept: str | None, *carried: str) -> tuple[DataFrame, Column, Column]:
+    """Rows with doc_id, the carried columns, tokens and features; their posterior, and their rate over a column posterior."""
+    labelled = materialise(_label(labels), "mixing-labels")
+    rows = materialise(features(docs, marker_words(docs, labelled), *carried), "mixing-features")
     posterior = posteriors(*_log_tables(rows, labelled))
     cells = rows.groupBy(*FEATURES).agg(F.sum("tokens").alias("tokens")).withColumn("p", posterior).select("p", "tokens").collect()
     p, tokens = np.array([c.p for c in cells]).reshape(-1, len(targets)), np.array([c.tokens for c in cells], float)
@@ -183,16 +189,20 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...]
         gap /= float(tokens @ np.clip(base - p @ prices, least, MOST_RATE)) / tokens.sum()
     if np.abs(gap).max() > 1e-3:
         logging.getLogger(__name__).warning("shares less targets left by the mix: %s", dict(zip(DOMAINS, np.round(gap, 5).tolist(), strict=True)))
-    return rows.withColumn("posterior", posterior).select("doc_id", "tokens", "posterior", rate(F.col("posterior"), prices, base, floor).alias("rate"))
+    return rows, posterior, rate(F.col("posterior"), prices, base, floor)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """docs with each row as often as its rate says: the whole part of it, and once more for
     the share of ids whose hash is below the rest. A row that is likeliest of the domain
     KEPT stays at least once, so that no mix thins clean documents; the other rates make
-    up for that. Columns are those of docs."""
-    rates = mixing_rates(docs, labels, targets, KEPT).groupBy(F.col("doc_id").alias("_vm_id")).agg(F.max("rate").alias("_vm_rate"))
+    up for that. A row's rate follows from its own features: rows are neither joined nor
+    shuffled. Columns are those of docs."""
+    own = [f"_own{i}" for i in range(len(docs.columns))]
+    wide = docs.select("doc_id", "text", *[F.col(c).alias(o) for c, o in zip(docs.columns, own, strict=True) if c not in ("doc_id", "text")])
+    carried = [c for c in wide.columns if c != "doc_id"]
+    rows, posterior, priced = _fitted(wide, labels, targets, KEPT, *carried)
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.floor("_vm_rate") + F.when(chance < F.col("_vm_rate") - F.floor("_vm_rate"), 1).otherwise(0)
-    both = docs.join(rates, F.col("doc_id").eqNullSafe(F.col("_vm_id")))
-    return both.withColumn("_vm_n", copies.cast("int")).where("_vm_n > 0").withColumn("_vm_i", F.explode(F.sequence(F.lit(1), F.col("_vm_n")))).select(*docs.columns)
+    copies = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    rated = rows.withColumn("posterior", posterior).withColumn("rate", priced).withColumn("n", copies.cast("int")).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return rated.select(*[F.col(c if c in ("doc_id", "text") else o).alias(c) for c, o in zip(docs.columns, own, strict=True)])
