@@ -47,6 +47,7 @@ def test_quality_scores(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("old"))
     labels = spark.createDataFrame([(i, v) for i, v in enumerate(y)] + [(None, 1), (1, None), (2, 7)], "doc_id long, quality int")
     sample_texts, sample_y = quality_cnn.training_sample(df, labels, 1000)
+    assert all(len(c) <= quality_cnn.SAMPLE_CHUNKS and c.shape[1] == quality_cnn.CHUNK for c in sample_texts)
     held = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 == 0}
     assert len(sample_texts) == len(texts) - len(held) and sorted(sample_y) == sorted(y[i] for i in range(len(y)) if i not in held)
     got = {r.doc_id: r.score for r in quality_cnn.quality_scores(df, labels).collect()}
@@ -72,7 +73,8 @@ def model():
 
 
 def test_license_classifier_held_out(model):
-    texts, y = license_scan._examples(99)  # other wordings
+    rng = random.Random(17)
+    texts, y = license_scan._examples(99, [_prose(rng, 25) for _ in range(300)])  # other wordings, prose never seen
     units = license_scan._units_of(texts)
     z = license_scan._logits(model["weights"], model["bias"], units) / model["temperature"]
     z[:, -1] += model["unknown"]

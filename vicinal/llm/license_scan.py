@@ -3,9 +3,11 @@
 Paragraphs (lines; a long one by overlapping windows of words) are classified
 into licence families by multinomial logistic regression over hashed word
 n-grams. One more class is unknown; the probabilities are calibrated by a
-temperature and a bias of that class fitted on held-out examples. A prediction
-is confirmed if the paragraph contains enough of the words of one of its
-family's templates.
+temperature and a bias of that class fitted on held-out examples. It learns
+licences from names and sentences of public licences in many frames, and unknown
+from snippets of the scanned texts themselves that hold no word of licensing. A
+prediction is confirmed if the paragraph contains enough of the pairs of
+neighbouring words of one of its family's templates.
 """
 
 from __future__ import annotations
@@ -65,6 +67,11 @@ NOT_LICENCES = (
     "This work is hard, and the work under the bridge is harder.", "Released from prison under the terms of the court.", "An eclipse was seen by the public in 2017.", "by the way", "under the table", "of the and to in version",
 )
 
+# Words of licensing; a snippet that holds none of them is no notice.
+LICENSING = r"(?i)licen[cs]|spdx|copyright|warrant|permission|permitted|redistribut|creative commons|public domain|cc[ -]by|cc0|gpl|\bmit\b|\bbsd\b|apache|mozilla|eclipse"
+#: Texts of which snippets are taken to learn from at most, snippets of each, and their words.
+PROSE_TEXTS, SNIPPETS, SNIPPET_WORDS = 500, 6, 30
+
 FAMILIES = (*sorted(NAMES), "unknown")
 
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
@@ -114,8 +121,19 @@ def _units_of(texts: list[str]) -> Units:
     return Units(buf, offs)
 
 
-def _examples(seed: int) -> tuple[list[str], np.ndarray]:
-    """Notices of every family in many wordings, and as many lines that are none."""
+def prose(docs: DataFrame, text_col: str = "text", texts: int = PROSE_TEXTS) -> list[str]:
+    """Snippets without words of licensing, spread evenly over each of a bounded number of distinct texts, those with the smallest hashes."""
+    good = docs.where(F.length(text_col) > 0).select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    chosen = good.groupBy("h").agg(F.lit(1).alias("one")).orderBy("h").limit(texts).select("h")
+    one = good.join(F.broadcast(chosen), "h", "left_semi").groupBy("h").agg(F.min("t").alias("t"))
+    words = one.select("h", F.filter(F.split("t", r"\s+"), lambda w: w != "").alias("w"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(SNIPPETS - 1)), lambda i: F.substring(F.array_join(F.slice(F.col("w"), (F.floor(i * F.size("w") / SNIPPETS) + 1).cast("int"), F.lit(SNIPPET_WORDS)), " "), 1, 20 * SNIPPET_WORDS))
+    lines = words.select("h", F.explode(F.array_distinct(spread)).alias("s")).where((F.length("s") > 0) & ~F.col("s").rlike(LICENSING))
+    return [r.s for r in sorted(lines.collect())]
+
+
+def _examples(seed: int, corpus: list[str] = ()) -> tuple[list[str], np.ndarray]:
+    """Notices of every family in many wordings, bare and inside snippets of the corpus, as many lines that are none, and the snippets."""
     rng = np.random.Generator(np.random.PCG64(seed))
     salad = " ".join(NOT_LICENCES).split()
     texts, y = [], []
@@ -146,6 +164,15 @@ def _examples(seed: int) -> tuple[list[str], np.ndarray]:
             line = " ".join(noise() for _ in range(rng.integers(1, 12)))
         texts.append(line)
         y.append(unknown)
+    for i, line in enumerate(corpus):
+        texts.append(line)
+        y.append(unknown)
+        if i % 3 == 0:  # a notice between words of the corpus
+            c, words = int(rng.integers(unknown)), line.split()
+            cut = int(rng.integers(len(words) + 1))
+            name = NAMES[FAMILIES[c]][rng.integers(len(NAMES[FAMILIES[c]]))]
+            texts.append(" ".join([*words[max(cut - 5, 0) : cut], FRAMES[rng.integers(len(FRAMES))].format(name), *words[cut : cut + 3]]))
+            y.append(c)
     return texts, np.array(y)
 
 
@@ -161,9 +188,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(seed: int = 5, rounds: int = 120) -> dict:
-    """The classifier: weights, bias, temperature, unknown's bias, and the words of each family's templates."""
-    texts, y = _examples(seed)
+def fit(corpus: list[str] = (), seed: int = 5, rounds: int = 120) -> dict:
+    """The classifier: weights, bias, temperature, unknown's bias, and the pairs of words of each family's templates.
+
+    corpus: snippets that are no notices (`prose`).
+    """
+    texts, y = _examples(seed, corpus)
     held = np.arange(len(texts)) % 5 == 0
     k = len(FAMILIES)
     units = _units_of([t for t, h in zip(texts, held, strict=True) if not h])
@@ -188,15 +218,18 @@ def fit(seed: int = 5, rounds: int = 120) -> dict:
     best = min(((-np.log(_softmax(z / t + np.eye(k)[-1] * u)[np.arange(len(z)), truth] + 1e-12).mean(), t, u) for t in (0.5, 0.75, 1.0, 1.5, 2.0, 3.0) for u in (0.0, 0.5, 1.0, 1.5, 2.0)), key=lambda x: x)
     templates = {}
     for family in FAMILIES[:-1]:
-        lines = [x for x in (*NAMES[family], *SENTENCES.get(family, ())) if len(x.replace("-", " ").split()) > 1]  # one word proves nothing
+        one_word = [x for x in NAMES[family] if len(_units_of([x]).hashes) == 1]  # proves nothing by itself
+        lines = [x for x in (*NAMES[family], *SENTENCES.get(family, ())) if x not in one_word]
+        lines += [f"{before} {x}" for x in one_word for before in ("license", "under", "identifier")]
         made = _units_of(lines)
-        templates[family] = [np.unique(made.hashes[made.words.bounds[i] : made.words.bounds[i + 1]]) for i in range(len(lines))]
+        templates[family] = [np.unique(run_hashes(made.hashes[made.words.bounds[i] : made.words.bounds[i + 1]], 2)) for i in range(len(lines))]
     return {"weights": weights.astype(np.float32), "bias": bias, "temperature": best[1], "unknown": best[2], "templates": templates}
 
 
 def _similarity(words: np.ndarray, templates: list[np.ndarray]) -> float:
-    """The largest share of a template's words that are among these."""
-    return max(float(np.isin(t, words).mean()) for t in templates)
+    """The largest share of a template's pairs of neighbouring words that these words have."""
+    pairs = run_hashes(words, 2)
+    return max(float(np.isin(t, pairs).mean()) for t in templates)
 
 
 HIT = "struct<paragraph:int,start:long,end:long,family:string,probability:double,similarity:double,confirmed:boolean>"
@@ -209,12 +242,14 @@ def scan(docs: DataFrame, text_col: str = "text", model: dict | None = None) ->
     text, the family, its calibrated probability, the share of the nearest
     template found in it, and whether that confirms it. Windows of one paragraph
     that name the same family and overlap or touch give one hit, the most
-    probable of those confirmed, if any; windows apart give a hit each.
-    Null and empty texts have no paragraphs; repeated rows are scanned each.
+    probable of those confirmed, if any (of equals the first); windows apart give
+    a hit each. Of families of equal probability the first by name is taken.
+    model: as `fit` makes it; None fits one with snippets of docs. Texts are
+    scanned whole, a run of rows at a time. Null and empty texts have no paragraphs; repeated rows are scanned each.
     Columns of docs with the names of the new ones are replaced.
     """
     docs = docs.drop("n_paragraphs", "hits")
-    packed = pickle.dumps(model or fit())
+    packed = pickle.dumps(model or fit(prose(docs, text_col)))
     schema = docs.select("*", F.lit(0).cast("int").alias("n_paragraphs"), F.lit(None).cast(f"array<{HIT}>").alias("hits")).schema
     hit_type = pa.struct([("paragraph", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())])
 
