@@ -70,7 +70,7 @@ NOT_LICENCES = (
 # Words of licensing; a snippet that holds none of them is no notice.
 LICENSING = r"(?i)licen[cs]|spdx|copyright|warrant|permission|permitted|redistribut|creative commons|public domain|cc[ -]by|cc0|gpl|\bmit\b|\bbsd\b|apache|mozilla|eclipse"
 #: Texts of which snippets are taken to learn from at most, snippets of each, and their words.
-PROSE_TEXTS, SNIPPETS, SNIPPET_WORDS = 500, 6, 30
+PROSE_TEXTS, SNIPPETS, SNIPPET_WORDS = 250, 6, 30
 
 FAMILIES = (*sorted(NAMES), "unknown")
 
