@@ -65,3 +65,43 @@ def test_training_learns():
     y = (x[:, 0] > 0.2).astype(int) + (x[:, 1] > 0.5)
     net = neural.train_mlp(x, y, (4, 16, 3), epochs=150, rate=0.02, batch=128, patience=40)
     assert (net.forward(x).argmax(1) == y).mean() > 0.93
+
+
+def test_malformed_bodies_never_stop_a_batch(spark):
+    whole = json.loads(_body(last_transaction={"timestamp": "2026-03-09T22:00:00Z", "km_from_current": 5.0}))
+    bad = []
+    for part, name in (f.split(".") for f in features.REQUIRED):
+        bad.append(json.dumps({**whole, part: {k: v for k, v in whole[part].items() if k != name}}))
+    bad += [json.dumps({k: v for k, v in whole.items() if k != part}) for part in ("transaction", "customer", "merchant", "terminal")]
+    for at in ("2026-03-09T23", "x", "", "2026-13-40T25:61:61Z"):
+        bad.append(_body(transaction={"requested_at": at}))
+        bad.append(_body(last_transaction={"timestamp": at, "km_from_current": 1.0}))
+    bad += [json.dumps({**whole, "last_transaction": {"timestamp": "2026-03-09T22:00:00Z"}}), "null", "[]", "7", "{}", json.dumps({**whole, "transaction": "x"})]
+    got = _vec(spark, *bad, json.dumps(whole), _body(), json.dumps({k: v for k, v in whole.items() if k != "last_transaction"}))
+    assert [m for m, _ in got] == [True] * len(bad) + [False] * 3
+    assert all(x is not None for _, v in got[-3:] for x in v)
+
+
+def test_binary_network_learns():
+    rng = np.random.default_rng(1)
+    x = rng.uniform(-1, 1, (1200, 4))
+    y = (x[:, 0] + x[:, 1] > 0.3).astype(int)
+    net = neural.train_binary(x, y, hidden=(16, 16, 16), epochs=40, rate=5e-3, batch=64)
+    p = net.forward(x)
+    assert p.shape == (1200, 1) and ((p[:, 0] >= 0.5) == (y == 1)).mean() > 0.93 and net.exact
+    assert abs(float(neural.erf(np.array([0.5]))[0]) - math.erf(0.5)) < 1e-12
+    # with one class guarded, the epoch that loses fewest of its rows is kept
+    y3 = np.where(x[:, 0] > 0.4, 2, y)
+    guard = neural.train_mlp(x, y3, (4, 16, 3), epochs=60, rate=0.02, batch=128, patience=60, guarded=2)
+    plain = neural.train_mlp(x, y3, (4, 16, 3), epochs=60, rate=0.02, batch=128, patience=60)
+    lost = lambda n: int((n.forward(x[y3 == 2]).argmax(1) != 2).sum())
+    assert lost(guard) <= lost(plain)
+
+
+def test_percentiles_are_elements(spark):
+    from vicinal.operators.evaluate import exact_percentile
+
+    for n in (1, 2, 3, 50, 99, 100, 101, 200, 1000):
+        df = spark.range(n).select((F.col("id") * 3).cast("double").alias("x"))
+        got = df.agg(*[exact_percentile("x", p).alias(f"p{i}") for i, p in enumerate((50, 90, 95, 99, 99.9))]).first()
+        assert [int(v) // 3 for v in got] == [min(n * p // 1000, n - 1) for p in (500, 900, 950, 990, 999)]

@@ -11,8 +11,7 @@ from vicinal.plans.registry import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-# one of each family; the rest run in the driver's comparison
-NAMES = ["knn_loo_count", "knn_single", "topk_overlap", "border_halo", "halo_sweep", "confusion_6x6", "kmeans_update", "csr_offsets", "ivf_search", "vectorize_tx", "malformed_default", "router_infer", "cascade_score", "final_score", "tau_sweep", "split_assign", "mismatch_diagnosis", "latency_per_day", "usage_ranking", "agreement_curve", "stress_agreement"]
+NAMES = list(oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +41,7 @@ def test_oracle(spark, con, name):
 
 
 def test_registry():
-    assert set(oracle_sql()) <= set(queries()) and len(queries()) > 80
+    assert set(oracle_sql()) <= set(queries()) and len(queries()) > 100
 
 
 def test_entry(spark):

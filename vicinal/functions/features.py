@@ -25,8 +25,8 @@ PAYLOAD = T.StructType([
 
 
 def instant(text: Column) -> Column:
-    """Seconds since the epoch of an ISO 8601 text in UTC; its first 19 characters count."""
-    return F.unix_timestamp(F.to_timestamp(F.substring(text, 1, 19), "yyyy-MM-dd'T'HH:mm:ss"))
+    """Seconds since the epoch of an ISO 8601 text in UTC; its first 19 characters count. Null if they are no time."""
+    return F.unix_timestamp(F.try_to_timestamp(F.substring(text, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
 
 
 def minutes_between(earlier: Column, later: Column) -> Column:
@@ -48,8 +48,8 @@ def ratio(amount: Column, average: Column) -> Column:
 def feature_columns() -> list[Column]:
     """The features in order, from the nested columns of a payload."""
     c = F.col
-    day = F.to_date(F.substring("transaction.requested_at", 1, 10))
-    hour = F.substring("transaction.requested_at", 12, 2).cast("int")
+    day = F.try_to_timestamp(F.substring("transaction.requested_at", 1, 10), F.lit("yyyy-MM-dd"))
+    hour = F.substring("transaction.requested_at", 12, 2).try_cast("int")
     minutes = minutes_between(c("last_transaction.timestamp"), c("transaction.requested_at"))
     none = c("last_transaction").isNull() | c("last_transaction.timestamp").isNull() | (minutes < 0)
     return [
@@ -66,8 +66,21 @@ def vectorise(payloads: DataFrame) -> DataFrame:
     return made.withColumn("q", quantise(F.col("vec")))
 
 
+#: Fields without which a payload is malformed; the last transaction may be missing as a whole.
+REQUIRED = tuple(f"{part.name}.{f.name}" for part in PAYLOAD if isinstance(part.dataType, T.StructType) and part.name != "last_transaction" for f in part.dataType)
+
+
 def parse(bodies: DataFrame, body_col: str = "body") -> DataFrame:
-    """bodies with the payload's columns and malformed, true where a body is no JSON payload."""
+    """bodies with the payload's columns and malformed, true where a body is no whole JSON payload.
+
+    Every field but those of the last transaction is required, of which both or
+    none have to be there; times have to be times. No body stops the batch.
+    """
     made = bodies.withColumn("_p", F.from_json(body_col, PAYLOAD, {"mode": "PERMISSIVE"}))
-    bad = F.col("_p").isNull() | F.col("_p.transaction.amount").isNull() | F.col("_p.transaction.requested_at").isNull() | F.col("_p.merchant").isNull()
-    return made.select("*", *[F.col(f"_p.{f.name}").alias(f.name) for f in PAYLOAD if f.name not in bodies.columns], bad.alias("malformed")).drop("_p")
+    last = F.col("_p.last_transaction")
+    missing = [F.col(f"_p.{f}").isNull() for f in REQUIRED]
+    half = last.isNotNull() & (instant(last["timestamp"]).isNull() | last["km_from_current"].isNull())
+    bad = F.col("_p").isNull() | half | instant(F.col("_p.transaction.requested_at")).isNull()
+    for one in missing:
+        bad = bad | one
+    return made.select("*", *[F.col(f"_p.{f.name}").alias(f.name) for f in PAYLOAD if f.name not in bodies.columns], F.coalesce(bad, F.lit(True)).alias("malformed")).drop("_p")

@@ -24,6 +24,11 @@ def quantise_even(vec: Column, scale: int = SCALE) -> Column:
     return F.transform(vec, lambda e: F.rint(e.cast("double") * F.lit(float(scale))).cast("long"))
 
 
+def quantise_away(vec: Column, scale: int = SCALE) -> Column:
+    """Grid steps of each component, halves away from zero, as benchmarks write 16-bit mirrors."""
+    return F.transform(vec, lambda e: (F.signum(e.cast("double")) * F.floor(F.abs(e.cast("double")) * F.lit(float(scale)) + F.lit(0.5))).cast("long"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
 
@@ -42,6 +47,16 @@ def l2_squared_by_norms(a: Column, b: Column) -> Column:
     return norm_squared(a) + norm_squared(b) - 2 * dot(a, b)
 
 
+def partial_distance(a: Column, b: Column) -> Column:
+    """The distance of b from the query a less the query's norm: ranks as the distance does, but is none."""
+    return norm_squared(b) - 2 * dot(a, b)
+
+
+def megabytes(rows: Column, dims: int = 14, width: int = 4) -> Column:
+    """Size of so many vectors in 10^6 bytes."""
+    return rows * F.lit(dims * width) / F.lit(1e6)
+
+
 def euclidean(d2: Column, scale: int = SCALE) -> Column:
     """Distance in units from a squared distance in grid steps."""
     return F.sqrt(F.greatest(d2, F.lit(0)).cast("double")) / F.lit(float(scale))

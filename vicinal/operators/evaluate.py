@@ -33,10 +33,12 @@ def score_p99(p99_ms: Column) -> Column:
 
 
 def exact_percentile(x: str, percent: float) -> Column:
-    """The element at floor(n * percent / 100) of the sorted values, from 0; the last one at most."""
-    kept = F.array_sort(F.collect_list(x))
-    at = F.floor(F.count(x) * F.lit(float(percent)) / F.lit(100.0)).cast("int")
-    return F.element_at(kept, F.least(at + 1, F.count(x).cast("int")))
+    """The element at floor(n * percent / 100) of the sorted values, from 0; the last one at most.
+
+    Tasks count equal values first and merge the counts; the share is a hair above
+    percent, since the first value to reach it is taken.
+    """
+    return F.expr(f"percentile_disc({min(percent / 100.0 + 1e-12, 1.0)!r}D) WITHIN GROUP (ORDER BY {x})")
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -54,3 +56,16 @@ def usage(neighbours: DataFrame, high: int = 10, low: int = 1) -> DataFrame:
     """ref_id, score: weighted appearances; queries whose votes are 2 or 3 weigh high."""
     votes = neighbours.groupBy("query_id").agg(F.sum(F.col("ref_fraud").cast("int")).alias("c"))
     return neighbours.join(votes, "query_id").groupBy("ref_id").agg(F.sum(F.when(F.col("c").isin(2, 3), high).otherwise(low)).alias("score"))
+
+
+def ranked(rows: DataFrame, group: str, score: str, key: str) -> DataFrame:
+    """rows with rank inside their group: by descending score, then ascending key.
+
+    The rows before a score's first are summed over a table of scores; rows are
+    ranked among those of one score alone, so that no task sorts a whole group.
+    """
+    sizes = rows.groupBy(group, score).agg(F.count("*").alias("_n"))
+    above = Window.partitionBy(group).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(group, score, F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_before"))
+    own = Window.partitionBy(group, score).orderBy(key)
+    return rows.join(before, [group, score]).withColumn("rank", (F.row_number().over(own) + F.col("_before")).cast("int")).drop("_before")

@@ -18,16 +18,19 @@ from ..functions.vectors import l2_squared
 RESULT = "query_id long, ref_id long, d2 long, ref_fraud boolean"
 
 
+def squared_distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """All squared distances of int64 rows, by one matrix product: in float64 where that holds them exactly, else in int64."""
+    most = float((q.astype(np.float64) ** 2).sum(1).max(initial=0) + (r.astype(np.float64) ** 2).sum(1).max(initial=0)) * 2
+    a, b = (q.astype(np.float64), r.astype(np.float64)) if most < 2**53 else (q, r)
+    return ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)).astype(np.int64)
+
+
 def nearest_in_block(qid, q, qf, rid, r, rf, k: int, exclude_self: bool, opposite: bool):
     """The k nearest of one block of references for each query: query index, reference index, d2.
 
-    Distances come from one matrix product; float64 holds them exactly below 2^53.
+    Distances are exact while they fit 64-bit integers.
     """
-    if float((q.astype(np.float64) ** 2).sum(1).max(initial=0) + (r.astype(np.float64) ** 2).sum(1).max(initial=0)) * 2 < 2**53:
-        a, b = q.astype(np.float64), r.astype(np.float64)
-        d = ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)).astype(np.int64)
-    else:
-        d = ((q[:, None, :] - r[None, :, :]) ** 2).sum(axis=2)
+    d = squared_distances(q, r)
     far = np.iinfo(np.int64).max
     if exclude_self:
         d[qid[:, None] == rid[None, :]] = far
@@ -45,7 +48,7 @@ def nearest_in_block(qid, q, qf, rid, r, rf, k: int, exclude_self: bool, opposit
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool = False, opposite: bool = False, strategy: str = "arrow", query_block: int = 2048, ref_block: int = 4096) -> DataFrame:
     """query_id, rank, ref_id, d2, ref_fraud: the k nearest references of each query.
 
-    queries, refs: id (long), q (array of long), f (boolean). exclude_self leaves
+    queries, refs: id (long, unique among the queries), q (array of long), f (boolean). exclude_self leaves
     out the reference with the query's id (leave one out), opposite those with
     the query's own label. "arrow" deals both sides to blocks of bounded size and
     takes a matrix product a pair of blocks; "sql" is the same join in built-in

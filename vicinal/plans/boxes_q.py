@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import boxes as X
 from ..operators import evaluate as E
 from ..operators import knn as K
-from .fixtures import BOX_K, HALO, SQL_BOXES, SQL_REFS4, refs4, sql_d2, sql_nn
+from .fixtures import BOX_K, HALO, SQL_BOXES, SQL_REFS4, haloed4, refs4, sql_d2, sql_nn
 
 QUERIES, ORACLE = {}, {}
 
-#: Halos of the sweeps, in grid steps.
+# Halos of the sweeps, in grid steps.
 SWEEP = (1000, 1500, 2000, 3000, 5000, 10000)
 
 
@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _halo(spark, d):
-    return X.haloed(refs4(spark, d), BOX_K, HALO)
+    return haloed4(spark, d)
 
 
 def _pct(n, total):
@@ -66,7 +66,7 @@ def nearest_opp(spark, d):
 
 @query("border_halo", f"WITH {SQL_BOXES} SELECT id AS vec_id, box0, opp_d2, box FROM halo")
 def border_halo(spark, d):
-    return _halo(spark, d).select(F.col("id").alias("vec_id"), "box0", "opp_d2", "box")
+    return X.haloed(refs4(spark, d), BOX_K, HALO).select(F.col("id").alias("vec_id"), "box0", "opp_d2", "box")
 
 
 @query("halo_report", f"WITH {SQL_BOXES} SELECT count(*) AS n, count(*) FILTER (box0 = 2) AS b_before, count(*) FILTER (box = 2) AS b_after, count(*) FILTER (box0 = 0 AND box = 2) AS from_legit, count(*) FILTER (box0 = 1 AND box = 2) AS from_fraud FROM halo")
@@ -100,8 +100,7 @@ def halo_sweep(spark, d):
 
 @query("geometric_halo", f"WITH {SQL_BOXES}, b AS (SELECT * FROM box0 WHERE box0 = 2), {sql_nn('near', 'b', 'refs', 5)} SELECT id AS vec_id FROM b UNION SELECT rid FROM near")
 def geometric_halo(spark, d):
-    r = refs4(spark, d)
-    return X.geometric_halo(r, X.partitioned(r, BOX_K), 5).select(F.col("id").alias("vec_id"))
+    return X.geometric_halo(refs4(spark, d), _halo(spark, d), 5).select(F.col("id").alias("vec_id"))
 
 
 @query("halo_simulation", f"WITH {SQL_BOXES}, {_SWEEP_SQL}, qs AS (SELECT * FROM refs WHERE id % 10 = 0), {sql_nn('full5', 'qs', 'refs', 5)}, truth AS (SELECT qid, sum(CAST(rf AS INT)) AS c FROM full5 GROUP BY qid), cand AS (SELECT s.limit_steps, a.id AS qid, b.id AS rid, b.f AS rf, {sql_d2('a.q', 'b.q')} AS d2 FROM s, qs a, halo b WHERE a.id <> b.id AND (b.box0 = 2 OR b.opp_d2 < CAST(s.limit_steps AS BIGINT) * s.limit_steps)), top AS (SELECT limit_steps, qid, sum(CAST(rf AS INT)) AS c FROM (SELECT *, row_number() OVER (PARTITION BY limit_steps, qid ORDER BY d2, rid) AS rk FROM cand) WHERE rk <= 5 GROUP BY limit_steps, qid) SELECT t.limit_steps, count(*) FILTER (u.c >= 3 AND t.c >= 3) AS tp, count(*) FILTER (u.c < 3 AND t.c < 3) AS tn, count(*) FILTER (u.c < 3 AND t.c >= 3) AS fp, count(*) FILTER (u.c >= 3 AND t.c < 3) AS fn FROM top t JOIN truth u USING (qid) GROUP BY t.limit_steps")
@@ -145,3 +144,22 @@ def agreement(spark, d):
 def agreement_by_count(spark, d):
     a, b = F.col("c_full"), F.col("c_sub")
     return _subset(spark, d).groupBy("c_full").agg(F.count("*").alias("n"), E.n_if(a == b).alias("same"), F.round(E.agreement(a >= 3, b >= 3), 6).alias("binary_agreement"))
+
+
+TAUS = (-900, -300, 0, 300, 900)  # cut-offs of the first component, in grid steps, in the place of a router's
+
+
+@query("validate_by_tau", f"{_SUB}, t AS (SELECT CAST(unnest([{', '.join(map(str, TAUS))}]) AS INTEGER) AS tau) SELECT tau, count(*) AS n, round(avg(CASE WHEN c_full = c_sub THEN 1e0 ELSE 0e0 END), 6) AS exact, round(avg(CASE WHEN (c_full >= 3) = (c_sub >= 3) THEN 1e0 ELSE 0e0 END), 6) AS binary_agreement FROM v JOIN refs r ON r.id = v.vec_id JOIN t ON r.q[1] > t.tau GROUP BY tau")
+def validate_by_tau(spark, d):
+    """The subset's verdicts against those of all, over what each cut-off sends to the search."""
+    cuts = spark.createDataFrame([(t,) for t in TAUS], "tau int")
+    rows = _subset(spark, d).join(refs4(spark, d).select(F.col("id").alias("vec_id"), F.col("q")[0].alias("x")), "vec_id").join(F.broadcast(cuts), F.col("x") > F.col("tau"))
+    a, b = F.col("c_full"), F.col("c_sub")
+    return rows.groupBy("tau").agg(F.count("*").alias("n"), F.round(E.agreement(a, b), 6).alias("exact"), F.round(E.agreement(a >= 3, b >= 3), 6).alias("binary_agreement"))
+
+
+@query("subset_megabytes", f"WITH {SQL_BOXES} SELECT box, count(*) AS n, round(count(*) * 56 / 1e6, 6) AS mb FROM halo GROUP BY box")
+def subset_megabytes(spark, d):
+    from ..functions.vectors import megabytes
+
+    return _halo(spark, d).groupBy("box").agg(F.count("*").alias("n"), F.round(megabytes(F.count("*")), 6).alias("mb"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators import knn as K
 from .boxes_q import _SUB, _halo, _subset
-from .fixtures import SQL_BOXES, read, refs4
+from .fixtures import SQL_BOXES, read
 
 QUERIES, ORACLE = {}, {}
+# Points of the sweeps.
 THRESHOLDS = tuple(round(0.30 + 0.05 * i, 2) for i in range(9))
 TAUS = (0.01, 0.05, 0.10, 0.15, 0.20, 0.30, 0.50, 0.70)
 
@@ -106,9 +107,7 @@ _GUESS = "guess AS (SELECT *, CASE WHEN q[1] > 800 THEN 1 WHEN q[1] < -200 THEN
 
 
 def _guessed(spark, d):
-    from ..operators.boxes import partitioned
-
-    return partitioned(refs4(spark, d), 25).withColumn("pred", F.when(F.col("q")[0] > 800, 1).when(F.col("q")[0] < -200, 0).otherwise(2))
+    return _halo(spark, d).withColumn("pred", F.when(F.col("q")[0] > 800, 1).when(F.col("q")[0] < -200, 0).otherwise(2))
 
 
 @query("confusion_3x3", f"WITH {SQL_BOXES}, {_GUESS} SELECT CAST(k.k AS INTEGER) AS truth, " + ", ".join(f"count(*) FILTER (pred = {i}) AS pred{i}" for i in range(3)) + " FROM range(3) k(k) LEFT JOIN guess ON box0 = k.k GROUP BY k.k")
@@ -127,9 +126,7 @@ def misroute_analysis(spark, d):
 
 @query("class_weights", f"WITH {SQL_BOXES}, k AS (SELECT box0, count(*) AS n FROM box0 GROUP BY box0) SELECT box0, n, round(greatest(1e0, (SELECT sum(n) FROM k) / (n * 3e0)), 6) AS weight FROM k")
 def class_weights(spark, d):
-    from ..operators.boxes import partitioned
-
-    made = partitioned(refs4(spark, d), 25).groupBy("box0").agg(F.count("*").alias("n"))
+    made = _halo(spark, d).groupBy("box0").agg(F.count("*").alias("n"))
     total = made.agg(F.sum("n").alias("total"))
     return made.crossJoin(F.broadcast(total)).select("box0", "n", F.round(F.greatest(F.lit(1.0), F.col("total") / (F.col("n") * 3.0)), 6).alias("weight"))
 
@@ -151,17 +148,33 @@ def mismatches(spark, d):
     return _subset(spark, d).where(a != b).select("vec_id", a.alias("expected_approved"), b.alias("actual_approved"), (F.col("c_sub") / 5.0).alias("actual_fraud_score"))
 
 
-@query("mismatch_summary", f"{_SUB} SELECT count(*) AS n, count(*) FILTER (c_full < 3 AND c_sub >= 3) AS fp, count(*) FILTER (c_full >= 3 AND c_sub < 3) AS fn, CAST(0 AS BIGINT) AS errors FROM v")
+#: Replayed answers over labels: every 41st request fails, every 50th verdict is turned.
+_REPLAY = "rp AS (SELECT doc_id, quality = 1 AS expected, CASE WHEN doc_id % 41 = 0 THEN NULL WHEN doc_id % 50 = 0 THEN quality <> 1 ELSE quality = 1 END AS actual FROM labels)"
+
+
+def _replayed(spark, d):
+    good = F.col("quality") == 1
+    return read(spark, d, "labels").select("doc_id", good.alias("expected"), F.when(F.col("doc_id") % 41 != 0, F.when(F.col("doc_id") % 50 == 0, ~good).otherwise(good)).alias("actual"))
+
+
+@query("replay_mismatches", f"WITH {_REPLAY} SELECT doc_id, expected, actual, CASE WHEN actual IS NULL THEN 'error' WHEN expected THEN 'fp' ELSE 'fn' END AS kind FROM rp WHERE actual IS NULL OR expected <> actual")
+def replay_mismatches(spark, d):
+    """Requests that failed, or whose verdict isn't the expected one; actual is null for those that failed."""
+    e, a = F.col("expected"), F.col("actual")
+    return _replayed(spark, d).where(a.isNull() | (e != a)).withColumn("kind", F.when(a.isNull(), "error").when(e, "fp").otherwise("fn"))
+
+
+@query("mismatch_summary", f"WITH {_REPLAY} SELECT count(*) AS n, count(*) FILTER (expected AND NOT actual) AS fp, count(*) FILTER (NOT expected AND actual) AS fn, count(*) FILTER (actual IS NULL) AS errors FROM rp")
 def mismatch_summary(spark, d):
-    a, b = F.col("c_full") < 3, F.col("c_sub") < 3
-    return _subset(spark, d).agg(F.count("*").alias("n"), E.n_if(a & ~b).alias("fp"), E.n_if(~a & b).alias("fn"), E.n_if(F.lit(False)).alias("errors"))
+    e, a = F.col("expected"), F.col("actual")
+    return _replayed(spark, d).agg(F.count("*").alias("n"), E.n_if(e & ~a).alias("fp"), E.n_if(~e & a).alias("fn"), E.n_if(a.isNull()).alias("errors"))
 
 
 @query("mismatch_diagnosis", f"{_SUB}, m AS (SELECT * FROM v WHERE c_full <> c_sub), o AS (SELECT n1.qid, count(n2.rid) AS overlap, count(*) FILTER (h.box <> 2) AS outside FROM n1 LEFT JOIN n2 ON n1.qid = n2.qid AND n1.rid = n2.rid JOIN halo h ON h.id = n1.rid GROUP BY n1.qid) SELECT m.vec_id, m.c_full, m.c_sub, o.overlap, o.outside FROM m JOIN o ON o.qid = m.vec_id")
 def mismatch_diagnosis(spark, d):
     h = _halo(spark, d)
     b = h.where("box = 2").select("id", "q", "f")
-    full, sub = K.knn_join(b, refs4(spark, d), 5, exclude_self=True), K.knn_join(b, b, 5, exclude_self=True)
+    full, sub = K.knn_join(b, h.select("id", "q", "f"), 5, exclude_self=True), K.knn_join(b, b, 5, exclude_self=True)
     where = full.join(h.select(F.col("id").alias("ref_id"), "box"), "ref_id").join(sub.select("query_id", "ref_id", F.lit(1).alias("hit")), ["query_id", "ref_id"], "left")
     about = where.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("hit").alias("overlap"), E.n_if(F.col("box") != 2).alias("outside"))
     return _subset(spark, d).where("c_full <> c_sub").join(about, "vec_id")
@@ -177,12 +190,23 @@ def latency_buckets(events, unit: str, percentile):
 
 
 def _latency(spark, d, unit):
-    made = latency_buckets(read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value"), unit, E.exact_percentile("value", 99))
+    made = latency_buckets(read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value"), unit, F.percentile("value", 0.99))
     return made.select(F.unix_timestamp("start").alias("bucket_s"), F.round("max_ms", 3).alias("max_ms"), F.round("p99_ms", 3).alias("p99_ms"), "n")
 
 
 def _sql_latency(seconds: int) -> str:
-    return f"SELECT CAST(epoch(ts) AS BIGINT) // {seconds} * {seconds} AS bucket_s, round(max(value), 3) AS max_ms, round({_sql_pct(99)}, 3) AS p99_ms, count(*) AS n FROM (SELECT date_trunc('second', ts) AS ts, value FROM events) GROUP BY 1"
+    return f"SELECT CAST(epoch(ts) AS BIGINT) // {seconds} * {seconds} AS bucket_s, round(max(value), 3) AS max_ms, round(quantile_cont(value, 0.99), 3) AS p99_ms, count(*) AS n FROM (SELECT date_trunc('second', ts) AS ts, value FROM events) GROUP BY 1"
+
+
+@query("second_series", "WITH s AS (SELECT CAST(floor(epoch(ts - INTERVAL 0 SECOND) - epoch(m)) AS INTEGER) // 86400 AS t_sec, value FROM events, (SELECT date_trunc('day', min(ts)) AS m FROM events)) SELECT t_sec, max(value) AS max_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms, count(*) AS n FROM s WHERE t_sec >= 0 AND t_sec < 200 GROUP BY t_sec")
+def second_series(spark, d):
+    """The series of a run in which a day of events counts as a second: what lies past 200 is dropped."""
+    from ..streaming.scoring import second_series as series
+
+    events = read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value")
+    began = events.agg(F.unix_timestamp(F.date_trunc("day", F.min("ts"))).alias("m"))
+    day = events.crossJoin(F.broadcast(began)).select(F.timestamp_seconds((F.col("ts").cast("double") - F.col("m")) / 86400).alias("ts"), "value")
+    return series(day, "1970-01-01 00:00:00").withColumn("p99_ms", F.round("p99_ms", 6))
 
 
 @query("latency_per_second", _sql_latency(1))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import features as T
 from ..functions import neural as N
+from ..operators import cascade as C
 from ..operators import ivf as I
 from ..operators import knn as K
-from .fixtures import SQL_REFS4, SQL_TX, bodies, payloads, read, refs4
-from .ivf_q import index, sql_ivf, sql_search
+from .fixtures import SQL_REFS4, SQL_REFS14, SQL_TX, bodies, haloed4, index, payloads, read, refs4, refs14
+from .ivf_q import sql_ivf, sql_search
 
 QUERIES, ORACLE = {}, {}
 SIZES, TAU = (4, 8, 8, 3), 0.3
@@ -158,9 +159,7 @@ def router_train(spark, d):
     """Class and probabilities by a router trained on a bounded sample of boxes."""
     import numpy as np
 
-    from ..operators.boxes import partitioned
-
-    boxed = partitioned(refs4(spark, d), 25)
+    boxed = haloed4(spark, d)
     sample = boxed.orderBy(F.xxhash64("id"), "id").limit(5000).select("q", "box0").collect()
     net = N.train_mlp(np.array([r.q for r in sample]) / 10000, np.array([r.box0 for r in sample]), SIZES)
     made = boxed.withColumn("p", net.udf()(F.transform("q", lambda v: v / F.lit(10000.0))))
@@ -173,6 +172,31 @@ def cascade_score(spark, d):
     p = lambda i: F.col("p")[i]
     fast = r.where(p(2) <= TAU).select("id", F.lit(False).alias("slow"), F.when(p(0) > p(1), 0).otherwise(5).alias("fraud_count"))
     slow = r.where(p(2) > TAU).select("id", "q", "f")
-    votes = K.vote(I.search(slow, *index(refs4(spark, d), 16), 5, 4)).select(F.col("query_id").alias("id"), "fraud_count")
+    votes = K.vote(I.search(slow, *index(spark, d, refs4, 16), 5, 4)).select(F.col("query_id").alias("id"), "fraud_count")
     searched = slow.select("id").join(votes, "id", "left").select("id", F.lit(True).alias("slow"), F.coalesce("fraud_count", F.lit(0)).alias("fraud_count"))
     return fast.unionByName(searched).withColumnRenamed("id", "vec_id")
+
+
+ROUTER, LISTS, PROBES = (14, 64, 64, 3), 16, 8
+
+
+@query("score_requests", f"""WITH {SQL_TX}, {SQL_REFS14}, {sql_ivf(LISTS)}, x0 AS (SELECT k AS id, [{', '.join(_DIMS)}] AS x FROM tx WHERE k % 50 <> 0),
+ z1 AS MATERIALIZED (SELECT id, x AS v, {_sql_layer(0, 14, 64, 'x')} AS z FROM x0), h1 AS MATERIALIZED (SELECT id, v, list_transform(z, lambda v: {_sql_gelu('v')}) AS x FROM z1),
+ z2 AS MATERIALIZED (SELECT id, v, {_sql_layer(1, 64, 64, 'x')} AS z FROM h1), h2 AS MATERIALIZED (SELECT id, v, list_transform(z, lambda v: {_sql_gelu('v')}) AS x FROM z2),
+ z3 AS MATERIALIZED (SELECT id, v, {_sql_layer(2, 64, 3, 'x')} AS z FROM h2), e3 AS (SELECT id, v, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM z3),
+ router AS MATERIALIZED (SELECT id, list_transform(v, lambda x: CAST(floor(x * 10000e0 + 0.5e0) AS BIGINT)) AS q, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e3),
+ asked AS (SELECT id, q FROM router WHERE p[3] > {TAU}e0), {sql_search(PROBES, '', 'asked', '')},
+ r AS (SELECT t.k, t.k % 50 = 0 AS malformed, coalesce(r.p[3] > {TAU}e0, false) AS slow, CAST(CASE WHEN t.k % 50 = 0 THEN 0 WHEN r.p[3] > {TAU}e0 THEN coalesce(v.c, 0) WHEN r.p[1] > r.p[2] THEN 0 ELSE 5 END AS INTEGER) AS fraud_count FROM tx t LEFT JOIN router r ON r.id = t.k LEFT JOIN votes v ON v.qid = t.k)
+ SELECT k AS tx_id, malformed, slow, fraud_count, fraud_count < 3 AS approved, fraud_count / 5e0 AS fraud_score FROM r""")
+def score_requests(spark, d):
+    """The service end to end: JSON bodies, features, the 14-64-64-3 router, the index for what it leaves open, verdicts."""
+    made = C.routed(bodies(spark, d).withColumnRenamed("id", "key"), N.Mlp.literal(ROUTER).udf(), TAU)
+    return C.verdicts(made, *index(spark, d, refs14, LISTS), 5, PROBES).withColumn("key", F.col("key").cast("long")).withColumnRenamed("key", "tx_id")
+
+
+@query("feasibility")
+def feasibility(spark, d):
+    """Confusion by threshold of a binary network that learnt the votes."""
+    from .artefacts import feasibility as chain
+
+    return chain(refs4(spark, d), epochs=6)

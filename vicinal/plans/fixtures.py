@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import quantise
+from ..functions.vectors import clamp01, quantise
+from ..operators import boxes, ivf
+from ..sources.tables import once
 
 #: Boxes: neighbours of a count, and the halo in grid steps.
 BOX_K, HALO = 25, 1500
@@ -29,6 +31,12 @@ def refs4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), q.alias("q")).withColumn("f", F.col("q")[0] > 300)
 
 
+def refs14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, q, f: the first 14 dimensions on [0, 1], the domain of transaction features; fraud is a label below 3."""
+    unit = F.transform(F.slice("embedding", 1, 14), lambda e: clamp01(e.cast("double") * 2.0 + 0.5))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantise(unit).alias("q"), (F.col("label") < 3).alias("f"))
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nested payload per order: amounts from totals, history from the customer's other orders."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), (F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") % 24) * 3600).alias("at"))
@@ -59,6 +67,20 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", F.when(cut, F.substring(body, 1, 40)).otherwise(body).alias("body"))
 
 
+def index(spark: SparkSession, sf_dir: str, refs, nlist: int, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Postings and centroids over refs (one of the functions above), built once a session and read back."""
+    name = f"{sf_dir}/{refs.__name__}/{nlist}/{rounds}"
+    cents = once(spark, f"{name}/centroids", lambda: ivf.kmeans(refs(spark, sf_dir), nlist, rounds).coalesce(1))
+    posts = once(spark, f"{name}/postings", lambda: ivf.assign(refs(spark, sf_dir), cents).drop("d2").repartition("cluster_id").sortWithinPartitions("cluster_id", "id"))
+    return posts, cents
+
+
+def haloed4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """refs4 with c, box0, opp_d2 and box, made once a session: what sweeps, subsets and simulations go over again and again."""
+    return once(spark, f"{sf_dir}/halo", lambda: boxes.haloed(refs4(spark, sf_dir), BOX_K, HALO))
+
+
+SQL_REFS14 = "refs AS (SELECT vec_id AS id, list_transform(list_slice(embedding, 1, 14), lambda e: CAST(floor(greatest(0e0, least(1e0, CAST(e AS DOUBLE) * 2e0 + 0.5e0)) * 10000e0 + 0.5e0) AS BIGINT)) AS q, label < 3 AS f FROM embeddings)"
 SQL_REFS64 = "refs AS (SELECT vec_id AS id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 10000e0 + 0.5e0) AS BIGINT)) AS q, label < 3 AS f FROM embeddings)"
 SQL_REFS4 = "r0 AS (SELECT vec_id AS id, list_transform(list_slice(embedding, 1, 4), lambda e: CAST(floor(CAST(e AS DOUBLE) * 10000e0 + 0.5e0) AS BIGINT)) AS q FROM embeddings), refs AS (SELECT id, q, q[1] > 300 AS f FROM r0)"
 

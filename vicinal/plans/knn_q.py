@@ -86,10 +86,21 @@ def knn_loo_neighbors(spark, d):
     return K.knn_join(r, r, 5, exclude_self=True).select(F.col("query_id").alias("vec_id"), "rank", "ref_id", "d2")
 
 
-@query("knn_loo_neighbors_sql", f"{LOO} SELECT qid AS vec_id, CAST(rk AS INTEGER) AS rank, rid AS ref_id, d2 FROM nn")
-def knn_loo_neighbors_sql(spark, d):
-    r = refs64(spark, d)
-    return K.knn_join(r, r, 5, exclude_self=True, strategy="sql").select(F.col("query_id").alias("vec_id"), "rank", "ref_id", "d2")
+@query("partial_distance", f"WITH {SQL_REFS64} SELECT a.id AS a_id, b.id AS b_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[2] * p[2] - 2 * p[1] * p[2])) AS BIGINT) AS part FROM refs a JOIN refs b ON a.id % 50 = 0 AND b.id <> a.id")
+def partial_distance(spark, d):
+    """Ranking keys of the pairs of l2_pairwise: distances without the query's norm."""
+    return _pairs(spark, d, V.partial_distance).withColumnRenamed("d2", "part")
+
+
+@query("quantize_vec_away", "SELECT vec_id, list_transform(embedding, lambda e: CAST(CASE WHEN e < 0 THEN -1e0 ELSE 1e0 END * floor(abs(CAST(e AS DOUBLE)) * 10000e0 + 0.5e0) AS BIGINT)) AS q FROM embeddings")
+def quantize_vec_away(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", V.quantise_away(F.col("embedding")).alias("q"))
+
+
+@query("count_of_score", f"{HALVES}, v AS (SELECT qid, CAST(sum(CAST(rf AS INT)) AS INT) AS c FROM nn GROUP BY qid) SELECT qid AS query_id, c AS fraud_count FROM v")
+def count_of_score(spark, d):
+    """Votes told back from scores."""
+    return knn_verdict(spark, d).select("query_id", F.round(F.col("fraud_score") * 5).cast("int").alias("fraud_count"))
 
 
 @query("knn_brute_count", f"{HALVES} SELECT qid AS query_id, CAST(sum(CAST(rf AS INT)) AS INT) AS fraud_count, max(d2) AS kth_d2 FROM nn GROUP BY qid")

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import features
-from ..operators import ivf, knn
+from ..operators import cascade
 
 
 def routed_verdicts(bodies: DataFrame, postings: DataFrame, centroids: DataFrame, router, tau: float = 0.5, k: int = 5, nprobe: int = 16) -> DataFrame:
@@ -20,26 +19,37 @@ def routed_verdicts(bodies: DataFrame, postings: DataFrame, centroids: DataFrame
     router: a function from vectors to probabilities of legit, fraud and
     boundary. Malformed bodies are approved with a count of 0.
     """
-    made = features.parse(bodies)
-    bad = made.where("malformed").select("key", F.lit(0).alias("fraud_count"))
-    good = features.vectorise(made.where(~F.col("malformed"))).withColumn("p", router(F.col("vec")))
-    p = lambda i: F.col("p")[i]
-    fast = good.where(p(2) <= tau).select("key", F.when(p(0) > p(1), 0).otherwise(k).alias("fraud_count"))
-    slow = good.where(p(2) > tau).select(F.col("key").alias("id"), "q", F.lit(False).alias("f"))
-    votes = knn.vote(ivf.search(slow, postings, centroids, k, nprobe, exclude_self=False)).select(F.col("query_id").alias("id"), "fraud_count")
-    searched = slow.select("id").join(votes, "id", "left").select(F.col("id").alias("key"), F.coalesce("fraud_count", F.lit(0)).alias("fraud_count"))
-    return knn.verdict(bad.unionByName(fast).unionByName(searched), k)
+    return cascade.verdicts(cascade.routed(bodies, router, tau), postings, centroids, k, nprobe).select("key", "fraud_count", "approved", "fraud_score")
 
 
-def start_scoring(stream: DataFrame, path: str, checkpoint: str, **parts) -> StreamingQuery:
-    """Scores each micro-batch and appends its verdicts to path; a batch that is replayed replaces its own output."""
+def start_scoring(stream: DataFrame, path: str, checkpoint: str, postings: DataFrame, centroids: DataFrame, router, tau: float = 0.5, k: int = 5, nprobe: int = 16) -> StreamingQuery:
+    """Scores each micro-batch and appends its verdicts to path; a batch that is replayed replaces its own output.
+
+    A batch is read, parsed and routed once: what the router made is kept until
+    the verdicts are written.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        routed_verdicts(batch, **parts).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        made = cascade.routed(batch, router, tau).persist()
+        try:
+            cascade.verdicts(made, postings, centroids, k, nprobe).select("key", "fraud_count", "approved", "fraud_score").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            made.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Seconds after the start of a run of which a series tells.
+HORIZON = 200
+
+
+def second_series(samples: DataFrame, start: str, horizon: int = HORIZON) -> DataFrame:
+    """t_sec, max_ms, p99_ms, n of the seconds since start (a time) that have samples; those outside [0, horizon) are dropped."""
+    t = F.floor(F.col("ts").cast("timestamp").cast("double") - F.to_timestamp(F.lit(start)).cast("double"))
+    kept = samples.withColumn("t_sec", t.cast("int")).where((F.col("t_sec") >= 0) & (F.col("t_sec") < horizon))
+    return kept.groupBy("t_sec").agg(F.max("value").alias("max_ms"), F.percentile("value", 0.99).alias("p99_ms"), F.count("*").alias("n"))
+
+
 def latency_series(samples: DataFrame, unit: str = "1 second", late: str = "10 minutes") -> DataFrame:
     """start, max_ms, p99_ms, n of tumbling windows over samples (ts timestamp, value double); batch or stream."""
     windowed = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
