@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.llm import mixing, ngram_join, packing, quality_cnn, substring_dedup
-from vicinal.llm.runtime import default_tokenizer, materialise, table
+from vicinal.llm.runtime import default_tokenizer, materialise, remove, table
 
 #: Documents with a lower probability of good quality go.
 LEAST_QUALITY = 0.3
@@ -77,8 +77,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over the documents of sf_dir."""
+    """The result of all stages over the documents of sf_dir; what a stage wrote goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"stage{i + 1}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage{i + 1}")
+        if i:
+            remove(before)
     return docs
