@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from vicinal.llm import registry
+from vicinal.llm import mixing, registry
 from vicinal.llm.runtime import materialise
 
 from .test_dedup import _components, _kept, words_of
@@ -60,6 +61,9 @@ def test_stages_match_plain_python(spark, tables):
         assert t is None or got[i].n_chars == len(got[i].text)
     mixed = materialise(stages["mixing sources to target weights"](spark, bare, tables), "t4")
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= set(got)
+    labels = spark.read.parquet(f"{tables}/labels.parquet")
+    want = _copies(mixing.mixing_rates(bare, labels, kept=mixing.KEPT).collect())
+    assert collections.Counter(r.doc_id for r in mixed.collect()) == want
     packed = stages["packing"](spark, mixed, tables).collect()
     copies = collections.Counter(r.doc_id for r in mixed.collect())
     total = collections.Counter()
@@ -68,10 +72,27 @@ def test_stages_match_plain_python(spark, tables):
     assert all(n == copies[i] * t for (i, t), n in total.items()) and {i for i, _ in total} == set(copies)
 
 
-def test_run_and_registry(spark, tables, monkeypatch):
-    monkeypatch.setattr(pipeline, "STAGES", [pipeline.STAGES[2], pipeline.STAGES[4]])  # the others are run above
+def _copies(rows):
+    """How often the mix has each id, by plain Python: the whole part of its rate, and one more below a hash."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    ids = spark.createDataFrame([(r.doc_id,) for r in rows], "doc_id long")
+    chance = {r[0]: (r[1] % (1 << 30)) / (1 << 30) for r in ids.select("doc_id", F.xxhash64("doc_id", F.lit("mix"))).collect()}
+    made = collections.Counter()
+    for r in rows:
+        whole = math.floor(r.rate)
+        made[r.doc_id] += whole + (chance[r.doc_id] < r.rate - whole)
+    return +made
+
+
+def test_run_over_all_stages_and_registry(spark, tables):
     out = pipeline.run(spark, tables)
-    assert out.count() > 0 and out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    for _, stage in pipeline.STAGES:
+        docs = materialise(stage(spark, docs, tables), "by-hand")
+    pieces = lambda df: collections.Counter((r.doc_id, r.doc_tokens) for r in df.where("start = 0").collect())
+    assert pieces(out) == pieces(docs) and out.count() > 100 and out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     names = registry.queries()
     assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names
     assert pipeline.ORACLE_SQL is None and np is not None
