@@ -93,11 +93,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, classes: tup
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length("block").cast("string"), F.lit(END), F.col("block"),
     )
     rows, low = classified(pages, min_bytes), -1
-    sizes = rows.agg(F.max("payload_bytes").alias("most")) if len(classes) > 1 else None
-    most = sizes.first().most if sizes is not None else None
+    most = pages.agg(F.max(F.octet_length(_payload()))).first()[0] or 0
     for high, records in classes:
         inside = (F.col("payload_bytes") > low) & (F.lit(True) if high is None else F.col("payload_bytes") <= high)
-        if low < 0 or (most or 0) > low:
+        if low < 0 or most > low:
             rows.where(inside).withColumn("block", block).select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records).text(f"{path}/to={high}", compression="gzip" if compressed else "none")
         low = high
 
