@@ -1,4 +1,4 @@
-"""The whole twins of sampled queries against brute force on a small fixture."""
+"""Simulations, usage, curves and stress over whole tables against brute force on a small fixture."""
 
 import numpy as np
 import pytest
@@ -50,28 +50,28 @@ def _usage(d, f, ids, train):
     return score
 
 
-def test_halo_simulation_whole(spark, sf):
+def test_halo_simulation(spark, sf):
     f, d, ids, box0, opp = _world(sf[1])
     u, want = _votes(d, np.ones(N, bool), f) >= 3, set()
     for limit in SWEEP:
         c = _votes(d, (box0 == 2) | (opp < limit * limit), f) >= 3
         want.add((limit, int((u & c).sum()), int((~u & ~c).sum()), int((~u & c).sum()), int((u & ~c).sum())))
-    got = queries()["halo_simulation_whole"](spark, sf[0]).select("limit_steps", "tp", "tn", "fp", "fn").collect()
+    got = queries()["halo_simulation"](spark, sf[0]).select("limit_steps", "tp", "tn", "fp", "fn").collect()
     assert {tuple(r) for r in got} == want and all(sum(r[1:]) == N for r in got)
 
 
-def test_usage_whole(spark, sf):
+def test_usage(spark, sf):
     f, d, ids, box0, _ = _world(sf[1])
     score = _usage(d, f, ids, ids >= 0)
     run = lambda name: queries()[name](spark, sf[0])
-    assert {r.ref_id: r.score for r in run("weighted_usage_whole").collect()} == {int(i): score[i] / 10 for i in ids if score[i]}
-    assert {tuple(r) for r in run("usage_breakdown_whole").select("box0", "n", "touched", "total").collect()} == {(b, int((box0 == b).sum()), int((score[box0 == b] > 0).sum()), int(score[box0 == b].sum())) for b in set(box0.tolist())}
-    assert {r.ref_id for r in run("untouched_b_whole").collect()} == set(ids[(box0 == 2) & (score == 0)].tolist())
-    best = {r.ref_id: r["rank"] for r in run("usage_ranking_whole").collect()}
+    assert {r.ref_id: r.score for r in run("weighted_usage").collect()} == {int(i): score[i] / 10 for i in ids if score[i]}
+    assert {tuple(r) for r in run("usage_breakdown").select("box0", "n", "touched", "total").collect()} == {(b, int((box0 == b).sum()), int((score[box0 == b] > 0).sum()), int(score[box0 == b].sum())) for b in set(box0.tolist())}
+    assert {r.ref_id for r in run("untouched_b").collect()} == set(ids[(box0 == 2) & (score == 0)].tolist())
+    best = {r.ref_id: r["rank"] for r in run("usage_ranking").collect()}
     assert all(best[i] == sum((box0 == box0[i]) & (score > 0) & ((score > score[i]) | ((score == score[i]) & (ids <= i)))) for i in best) and len(best) == (score > 0).sum()
 
 
-def test_curve_whole(spark, sf):
+def test_curve(spark, sf):
     f, d, ids, box0, _ = _world(sf[1])
     score, test = _usage(d, f, ids, ids % 3 != 1), ids % 3 == 1
     most = sorted(ids[box0 != 2], key=lambda i: (-score[i], i))
@@ -81,10 +81,10 @@ def test_curve_whole(spark, sf):
         inside = box0 == 2
         inside[most[:size]] = True
         want[size] = (int(test.sum()), round(float(((_votes(d, inside, f) >= 3) == u)[test].mean()), 6))
-    assert {r["size"]: (r.n, r.agreement) for r in queries()["agreement_curve_whole"](spark, sf[0]).collect()} == want
+    assert {r["size"]: (r.n, r.agreement) for r in queries()["agreement_curve"](spark, sf[0]).collect()} == want
 
 
-def test_stress_whole(spark, sf):
+def test_stress(spark, sf):
     q = sf[1]
     f, _, ids, box0, opp = _world(q)
     inside = (box0 == 2) | (opp < HALO * HALO)
@@ -93,7 +93,7 @@ def test_stress_whole(spark, sf):
         "uniform": np.stack([code(j) % 8001 - 4000 for j in range(4)], 1), "gaussian": np.stack([code(j) % 2001 + code(j + 10) % 2001 + code(j + 20) % 2001 - 3000 for j in range(4)], 1),
         "perturbed": q + np.stack([code(j) % 1001 - 500 for j in range(4)], 1),
     }
-    got = {r.dist: (r.n, r.exact, r.binary_agreement) for r in queries()["stress_agreement_whole"](spark, sf[0]).collect()}
+    got = {r.dist: (r.n, r.exact, r.binary_agreement) for r in queries()["stress_agreement"](spark, sf[0]).collect()}
     for name, x in shapes.items():
         a, b = _votes(_d2(x, q), np.ones(N, bool), f), _votes(_d2(x, q), inside, f)
         assert got[name] == (N, round(float((a == b).mean()), 6), round(float(((a >= 3) == (b >= 3)).mean()), 6))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import boxes as X
 from ..operators import evaluate as E
 from ..operators import knn as K
+from ..sources.tables import once
 from .fixtures import BOX_K, HALO, SQL_BOXES, SQL_REFS4, haloed4, refs4, sql_d2, sql_nn
 
 QUERIES, ORACLE = {}, {}
@@ -75,18 +76,6 @@ def halo_report(spark, d):
     return _halo(spark, d).agg(F.count("*").alias("n"), E.n_if(b0 == 2).alias("b_before"), E.n_if(b == 2).alias("b_after"), E.n_if((b0 == 0) & (b == 2)).alias("from_legit"), E.n_if((b0 == 1) & (b == 2)).alias("from_fraud"))
 
 
-def _simulated(spark, d, qs):
-    """Verdicts of qs from the rows within each halo of the sweep, against those from all rows."""
-    h = _halo(spark, d)
-    truth = K.vote(K.knn_join(qs, refs4(spark, d), 5, exclude_self=True)).select("query_id", F.col("fraud_count").alias("u"))
-    made = None
-    for limit in SWEEP:  # a handful of parameters
-        inside = h.where((F.col("box0") == 2) | (F.col("opp_d2") < limit * limit)).select("id", "q", "f")
-        got = K.vote(K.knn_join(qs, inside, 5, exclude_self=True)).select("query_id", "fraud_count").withColumn("limit_steps", F.lit(limit))
-        made = got if made is None else made.unionByName(got)
-    return made.join(truth, "query_id").groupBy("limit_steps").agg(*E.confusion(F.col("u") >= 3, F.col("fraud_count") >= 3))
-
-
 _SWEEP_SQL = "s AS (SELECT CAST(unnest([" + ", ".join(map(str, SWEEP)) + "]) AS INTEGER) AS limit_steps)"
 
 
@@ -103,15 +92,17 @@ def geometric_halo(spark, d):
     return X.geometric_halo(refs4(spark, d), _halo(spark, d), 5).select(F.col("id").alias("vec_id"))
 
 
-@query("halo_simulation", f"WITH {SQL_BOXES}, {_SWEEP_SQL}, qs AS (SELECT * FROM refs WHERE id % 10 = 0), {sql_nn('full5', 'qs', 'refs', 5)}, truth AS (SELECT qid, sum(CAST(rf AS INT)) AS c FROM full5 GROUP BY qid), cand AS (SELECT s.limit_steps, a.id AS qid, b.id AS rid, b.f AS rf, {sql_d2('a.q', 'b.q')} AS d2 FROM s, qs a, halo b WHERE a.id <> b.id AND (b.box0 = 2 OR b.opp_d2 < CAST(s.limit_steps AS BIGINT) * s.limit_steps)), top AS (SELECT limit_steps, qid, sum(CAST(rf AS INT)) AS c FROM (SELECT *, row_number() OVER (PARTITION BY limit_steps, qid ORDER BY d2, rid) AS rk FROM cand) WHERE rk <= 5 GROUP BY limit_steps, qid) SELECT t.limit_steps, count(*) FILTER (u.c >= 3 AND t.c >= 3) AS tp, count(*) FILTER (u.c < 3 AND t.c < 3) AS tn, count(*) FILTER (u.c < 3 AND t.c >= 3) AS fp, count(*) FILTER (u.c >= 3 AND t.c < 3) AS fn FROM top t JOIN truth u USING (qid) GROUP BY t.limit_steps")
+@query("halo_simulation", f"WITH {SQL_BOXES}, {_SWEEP_SQL}, {sql_nn('full5', 'refs', 'refs', 5)}, truth AS (SELECT qid, sum(CAST(rf AS INT)) AS c FROM full5 GROUP BY qid), cand AS (SELECT s.limit_steps, a.id AS qid, b.id AS rid, b.f AS rf, {sql_d2('a.q', 'b.q')} AS d2 FROM s, refs a, halo b WHERE a.id <> b.id AND (b.box0 = 2 OR b.opp_d2 < CAST(s.limit_steps AS BIGINT) * s.limit_steps)), top AS (SELECT limit_steps, qid, sum(CAST(rf AS INT)) AS c FROM (SELECT *, row_number() OVER (PARTITION BY limit_steps, qid ORDER BY d2, rid) AS rk FROM cand) WHERE rk <= 5 GROUP BY limit_steps, qid) SELECT t.limit_steps, count(*) FILTER (u.c >= 3 AND t.c >= 3) AS tp, count(*) FILTER (u.c < 3 AND t.c < 3) AS tn, count(*) FILTER (u.c < 3 AND t.c >= 3) AS fp, count(*) FILTER (u.c >= 3 AND t.c < 3) AS fn FROM top t JOIN truth u USING (qid) GROUP BY t.limit_steps")
 def halo_simulation(spark, d):
-    return _simulated(spark, d, refs4(spark, d).where("id % 10 = 0"))
-
-
-@query("halo_simulation_whole")
-def halo_simulation_whole(spark, d):
-    """halo_simulation with every reference as a query; too slow for a twin in SQL."""
-    return _simulated(spark, d, refs4(spark, d))
+    """Verdicts of every reference from the rows within each halo of the sweep, against those from all rows."""
+    h, r = _halo(spark, d), refs4(spark, d)
+    truth = once(spark, f"{d}/truth4", lambda: K.vote(K.knn_join(r, r, 5, exclude_self=True)).select("query_id", F.col("fraud_count").alias("u")))
+    made = None
+    for limit in SWEEP:  # a handful of parameters
+        inside = h.where((F.col("box0") == 2) | (F.col("opp_d2") < limit * limit)).select("id", "q", "f")
+        got = K.vote(K.knn_join(r, inside, 5, exclude_self=True)).select("query_id", "fraud_count").withColumn("limit_steps", F.lit(limit))
+        made = got if made is None else made.unionByName(got)
+    return made.join(truth, "query_id").groupBy("limit_steps").agg(*E.confusion(F.col("u") >= 3, F.col("fraud_count") >= 3))
 
 
 _SUB = f"WITH {SQL_BOXES}, b AS (SELECT id, q, f FROM halo WHERE box = 2), {sql_nn('n1', 'b', 'refs', 5)}, {sql_nn('n2', 'b', 'b', 5)}, v AS (SELECT x.qid AS vec_id, x.c AS c_full, coalesce(y.c, 0) AS c_sub FROM (SELECT qid, CAST(sum(CAST(rf AS INT)) AS INT) AS c FROM n1 GROUP BY qid) x LEFT JOIN (SELECT qid, CAST(sum(CAST(rf AS INT)) AS INT) AS c FROM n2 GROUP BY qid) y USING (qid))"
