@@ -155,7 +155,7 @@ def check_dims(df: DataFrame, vec_col: str, dims: int) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.sum(F.when(wrong, 1).otherwise(0)).cast("long").alias("bad"))
 
 
-_kept: dict[tuple[str, str], str] = {}
+_kept: dict[tuple[str, str], DataFrame] = {}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -166,16 +166,22 @@ def scratch(spark: SparkSession) -> str:
     return (found or "file://" + join(gettempdir(), "checkpoints")).rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: for rows that a plan needs twice and that are dear to make. Deleted with the session."""
+    spark = df.sparkSession
+    where = f"{scratch(spark)}/vicinal-{uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
 def once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What make gives, written on the first call of a session and read back on every one; deleted with the session."""
+    """What make gives, written on the first call of a session and read back on every one."""
     key = (spark.sparkContext.applicationId, name)
     if key not in _kept:
-        where = f"{scratch(spark)}/vicinal-{uuid4().hex}"
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-        make().write.parquet(where)
-        _kept[key] = where
-    return spark.read.parquet(_kept[key])
+        _kept[key] = written(make())
+    return _kept[key]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
