@@ -67,16 +67,20 @@ def marker_words(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE_ROWS,
 def features(docs: DataFrame, markers: list[str], *carried: str) -> DataFrame:
     """doc_id, tokens and the feature buckets of every whole text, and carried columns; a null text counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    size = F.greatest(F.char_length("t"), F.lit(1))
-    share = lambda letters: (F.char_length("t") - F.char_length(F.translate("t", letters, ""))) / size
-    split = docs.select("doc_id", *carried, text.alias("t"), _words(text).alias("w")).withColumn("tokens", F.size("w").cast("long"))
-    bare = F.split(F.regexp_replace(F.lower("t"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " ")
+    share = lambda others: F.char_length(F.regexp_replace("t", others, "")) / F.greatest(F.char_length("t"), F.lit(1))
+    split = docs.select("doc_id", *carried, text.alias("t"), _words(text).alias("w"))
+    bare = F.split(F.lower("t"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     hits = F.size(F.array_intersect(bare, F.array(*[F.lit(m) for m in markers]))) if markers else F.lit(0)
-    return split.select(
-        "doc_id", *carried, "tokens", F.least(hits, F.lit(3)).alias("f_marker"),
-        _bucket(F.size(F.array_distinct("w")) / F.greatest("tokens", F.lit(1)), (0.2, 0.35, 0.5, 0.7)).alias("f_repeat"),
-        _bucket(share("|#$%&*!~^{}<>=@"), (1e-9, 0.01, 0.03, 0.1)).alias("f_symbol"),
-        _bucket(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (0.03, 0.1, 0.5)).alias("f_upper"),
+    # measured in a projection of their own, as a bucket names its measure once an edge
+    measured = split.select(
+        "doc_id", *carried, F.size("w").cast("long").alias("tokens"), F.size(F.array_distinct("w")).alias("_distinct"), hits.alias("_hits"),
+        share(r"[^|#$%&*!~\^{}<>=@]+").alias("_symbol"), share("[^A-Z]+").alias("_upper"),
+    )
+    return measured.select(
+        "doc_id", *carried, "tokens", F.least("_hits", F.lit(3)).alias("f_marker"),
+        _bucket(F.col("_distinct") / F.greatest("tokens", F.lit(1)), (0.2, 0.35, 0.5, 0.7)).alias("f_repeat"),
+        _bucket(F.col("_symbol"), (1e-9, 0.01, 0.03, 0.1)).alias("f_symbol"),
+        _bucket(F.col("_upper"), (0.03, 0.1, 0.5)).alias("f_upper"),
         _bucket(F.col("tokens"), (20, 100, 1000)).alias("f_size"),
     )
 
