@@ -177,3 +177,14 @@ def test_frequent_runs_only_move_windows(spark, monkeypatch):
     assert len(substring_dedup.frequent_runs(df, 6, "text", 4)) >= 1
     got = substring_dedup.remove_repeats(df, 6).orderBy("doc_id").collect()
     assert [list(r.kept_words) for r in got] == _kept(texts, 6)
+
+
+@pytest.mark.parametrize("name", ["op3_ngram_join", "op10_substring_dedup"])
+def test_registered_queries_match_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    sf_dir = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    got = registry.queries()[name](spark, sf_dir)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)

@@ -47,6 +47,27 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS token
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1) + 1))) AS i FROM d)),
+n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM s a JOIN s b ON a.token = b.token AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c.both >= 85 * (x.n + y.n - c.both)),
+r(doc_id, reached) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION
+  SELECT r.doc_id, links.v FROM r JOIN links ON links.u = r.reached)
+SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reached) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
@@ -107,9 +128,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join("kept_words", " ").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS words
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+again AS (
+  SELECT doc_id, i FROM s SEMI JOIN (SELECT words FROM s GROUP BY words HAVING count(*) > 1) USING (words)),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM again) GROUP BY doc_id),
+kept AS (
+  SELECT x.doc_id, len(w) AS n, CASE WHEN ps IS NULL THEN 0 ELSE len(ps) END AS removed, w, ps
+  FROM d x LEFT JOIN gone USING (doc_id)),
+k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) x
+  ANTI JOIN (SELECT doc_id, unnest(ps) AS i FROM gone) g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(removed AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM kept LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_exact_topk": op1_exact_topk, "op2_fingerprints": op2_fingerprints, "op3_ngram_join": op3_ngram_join, "op4_language_id": op4_language_id, "op5_license_scan": op5_license_scan, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_substring_dedup": op10_substring_dedup, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op8_warc": OP8_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op3_ngram_join": OP3_SQL, "op8_warc": OP8_SQL, "op10_substring_dedup": OP10_SQL}
