@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from vicinal.llm import fingerprints, topk_search
@@ -91,6 +92,21 @@ def test_edited_texts(spark):
     assert one.edited == "é" * 9 and one.near_edited == one.near_next == 1.0
 
 
+def test_hot_ids_and_texts_without_end(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice("abcdefgh") * 3 for _ in range(6))
+    rows = [(rng.choice([None, None, 7, 7, 7, i]), text()) for i in range(600)] + [(None, "same"), (None, "same"), (7, None), (7, "")]
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    signed = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63
+    rows = sorted(((i is not None, i or 0, signed(t or ""), t or "") for i, t in rows))
+    want = [(i if known else None, t, t[: len(t) - len(t) // 2] + rows[(n + 1) % len(rows)][3][: len(t) // 2]) for n, (known, i, _, t) in enumerate(rows)]
+    assert sorted(((r.doc_id or -1, r.text, r.edited) for r in got)) == sorted((i or -1, t, e) for i, t, e in want)
+    runs = {r.run for r in fingerprints.with_successor(spark.createDataFrame([(None, text()) for _ in range(90)], "doc_id long, text string")).select("run").collect()}
+    assert len(runs) > 4
+    a, b = (fingerprints.fingerprint_lanes(pa.array([t])) for t in ("a b c " * 40000, "a b c " * 39000))
+    assert 0.99 < fingerprints.likeness(a, b)[0] < 1
+
+
 def test_words_and_grams():
     col = pa.array(["A b\tc", None, "", " x ", "é ü ö\nz"])
     words = [bytes(buf[s:e]).decode() for _, _, buf, offs in slices(col) for w in [Words(buf, offs)] for s, e in zip(w.starts, w.ends, strict=True)]

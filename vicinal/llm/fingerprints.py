@@ -1,20 +1,22 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
 Each paragraph (the text between line feeds) is hashed to a wide vector, and a
-document's fingerprint is the sum of its paragraphs' vectors modulo 2^16 a lane.
+document's fingerprint is the sum of its paragraphs' vectors modulo 2^32 a lane.
 Sums do not depend on the order of paragraphs, and a paragraph is inserted or
 deleted by adding or subtracting its vector (`combine`).
 
 A vector has two parts. EXACT lanes come from SHAKE-128 of the paragraph's
 bytes and serve equality. LIKENESS lanes are a signed sketch of the paragraph's
 shingles of three words; as the sketch is linear too, inner products of two
-sums estimate how much the multisets of shingles share.
+sums estimate how much the multisets of shingles share. No text of the 2 GB that a
+row can hold has shingles enough to carry such a lane past its sign.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .runtime import parallelism
 from .textkit import Words, gram_hashes, slices
 
-EXACT, LIKENESS = 128, 256
+EXACT, LIKENESS = 64, 256
 SHINGLE = 3
 
 
@@ -47,32 +49,32 @@ def _paragraphs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def fingerprint_lanes(column: pa.Array) -> np.ndarray:
-    """Lanes (uint16) of every text of a string column; a null text counts as empty."""
-    out = np.zeros((len(column), EXACT + LIKENESS), dtype=np.uint16)
+    """Lanes (uint32) of every text of a string column; a null text counts as empty."""
+    out = np.zeros((len(column), EXACT + LIKENESS), dtype=np.uint32)
     for a, b, buf, offs in slices(column):
         starts, ends, docs = _paragraphs(buf, offs)
         if not len(docs):
             continue
         raw = buf.tobytes()
-        wide = b"".join(hashlib.shake_128(raw[s:e]).digest(2 * EXACT) for s, e in zip(starts.tolist(), ends.tolist(), strict=True))
-        vectors = np.frombuffer(wide, dtype="<u2").reshape(-1, EXACT)
+        wide = b"".join(hashlib.shake_128(raw[s:e]).digest(4 * EXACT) for s, e in zip(starts.tolist(), ends.tolist(), strict=True))
+        vectors = np.frombuffer(wide, dtype="<u4").reshape(-1, EXACT)
         firsts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-        out[a + docs[firsts], :EXACT] = np.add.reduceat(vectors, firsts, axis=0, dtype=np.uint16)
+        out[a + docs[firsts], :EXACT] = np.add.reduceat(vectors, firsts, axis=0, dtype=np.uint32)
         words = Words(buf, np.append(starts, len(buf)))
         grams, para = gram_hashes(words.hashes(), words.bounds, SHINGLE)
         lane = docs[para] * LIKENESS + (grams % np.uint64(LIKENESS)).astype(np.int64)
         sign = 1.0 - 2.0 * ((grams >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
         sums = np.bincount(lane, weights=sign, minlength=(b - a) * LIKENESS).astype(np.int64)
-        out[a:b, EXACT:] = sums.reshape(b - a, LIKENESS).astype(np.uint16)
+        out[a:b, EXACT:] = sums.reshape(b - a, LIKENESS).astype(np.uint32)
     return out
 
 
 def encode_lanes(lanes: np.ndarray) -> list[str]:
-    return [base64.b64encode(row.astype("<u2").tobytes()).decode() for row in lanes]
+    return [base64.b64encode(row.astype("<u4").tobytes()).decode() for row in lanes]
 
 
 def decode_lanes(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), dtype="<u2").astype(np.uint16)
+    return np.frombuffer(base64.b64decode(fingerprint), dtype="<u4").astype(np.uint32)
 
 
 def combine(fingerprint: str, other: str, sign: int = 1) -> str:
@@ -83,8 +85,8 @@ def combine(fingerprint: str, other: str, sign: int = 1) -> str:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated share of common shingles of each pair of rows, 0 to 1; 1 for equal fingerprints."""
-    x = a[:, EXACT:].view(np.int16).astype(np.float64)
-    y = b[:, EXACT:].view(np.int16).astype(np.float64)
+    x = a[:, EXACT:].view(np.int32).astype(np.float64)
+    y = b[:, EXACT:].view(np.int32).astype(np.float64)
     both = (x * x).sum(1) + (y * y).sum(1)
     near = np.divide(2 * (x * y).sum(1), both, out=np.zeros(len(x)), where=both > 0)
     return np.where((a == b).all(1), 1.0, np.clip(near, 0.0, 1.0))
@@ -106,25 +108,35 @@ def fingerprint_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows in runs of ascending id, each run followed by a copy of the row after it.
 
-    Returns doc_id, text, run, extra; partitions hold whole runs, sorted. Only
-    ids, never texts, are looked at to draw the runs; a run's copy of its
+    Returns doc_id, text, h, run, extra; partitions hold whole runs, sorted. Only
+    ids and hashes of texts are looked at to draw the runs; a run's copy of its
     successor is told by extra = 1. After the last row comes the first. Null ids
-    come first; rows with equal ids stand in the order of their texts.
+    come first; rows with equal ids stand in the order of the hashes of their
+    texts, by which the rows of a null or often repeated id fall into several runs.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     n = 4 * parallelism(spark)
-    cuts = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.002 if n < 400 else 0.0005)))
-    edges = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<long>")
-    run = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda c: c <= F.col("doc_id"))))
-    rows = rows.withColumn("run", run.cast("int"))
+    found = Counter(int(c) for c in rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.002 if n < 400 else 0.0005))
+    edges = F.array(*[F.lit(c) for c in sorted(found)]).cast("array<long>")
+    range_ = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda c: c <= F.col("doc_id"))))
+    # an id that is an edge several times holds as many shares of the rows; its rows, and those without an id, are cut by hash
+    parts = F.when(F.col("doc_id").isNull(), F.lit(n))
+    if often := [(c, times + 1) for c, times in found.items() if times > 1]:
+        parts = parts.otherwise(F.element_at(F.create_map(*[F.lit(x) for c, m in often for x in (c, m)]).cast("map<bigint,int>"), F.col("doc_id")))
+    part = F.least(F.floor((F.col("h") / F.lit(2.0**64) + F.lit(0.5)) * parts), parts - 1)
+    rows = rows.withColumn("run", (range_ * (n + 1) + F.coalesce(part, F.lit(n))).cast("long"))
     # a row per run: their number is set by the session's parallelism
-    firsts = rows.groupBy("run").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("void")).orderBy("run").collect()
-    starts = [(firsts[i - 1].run, None if firsts[i].void else firsts[i].doc_id) for i in range(len(firsts))]
-    heads = spark.createDataFrame(starts or [(0, 0)], "run int, doc_id long").limit(len(starts))
-    copies = rows.drop("run").alias("r").join(F.broadcast(heads).alias("h"), F.col("r.doc_id").eqNullSafe(F.col("h.doc_id"))).select("r.doc_id", "r.text", "h.run", F.lit(1).alias("extra"))
+    firsts = rows.groupBy("run").agg(F.min(F.struct("doc_id", "h")).alias("k")).orderBy("run").collect()
+    starts = [(firsts[i - 1].run, firsts[i].k.doc_id, firsts[i].k.h) for i in range(len(firsts))]
+    heads = spark.createDataFrame(starts or [(0, 0, 0)], "run long, doc_id long, h long").limit(len(starts))
+    same = F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.h") == F.col("s.h"))
+    copies = rows.drop("run").alias("r").join(F.broadcast(heads).alias("s"), same).select("r.doc_id", "r.text", "r.h", "s.run", F.lit(1).alias("extra"))
+    # of a repeated row one copy is enough
+    copies = copies.dropDuplicates(["run", "h"])
     both = rows.withColumn("extra", F.lit(0)).unionByName(copies)
-    return both.repartition(parallelism(spark), "run").sortWithinPartitions("run", "extra", F.asc_nulls_first("doc_id"), "text")
+    return both.repartition(parallelism(spark), "run").sortWithinPartitions("run", "extra", F.asc_nulls_first("doc_id"), "h", "text")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
