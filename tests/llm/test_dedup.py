@@ -67,7 +67,7 @@ def test_join_null_ids_repeats_and_empty(spark):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in ngram_join.components(df).collect())
     assert got == [(-1, 2, -1), (2, 2, 2), (4, 2, 2), (4, 2, 2), (9, 0, 9)]
     assert ngram_join.components(df.limit(0)).count() == 0
-    kept = ngram_join.keep_one(df.withColumn("component_id", F.lit("c")))
+    kept = ngram_join.keep_one(df.withColumn("component_id", F.lit("c")).withColumn("gone_id", F.lit(4))).drop("gone_id")
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 9] and kept.columns == ["doc_id", "text", "component_id"]
 
 
@@ -116,7 +116,7 @@ def _kept(texts, window):
 def test_repeats_match_brute_force(spark, window, piece, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SLICE", piece)  # windows meet within and across slices
     texts = _texts()
-    df = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("pos", F.monotonically_increasing_id()).withColumn("spans", F.lit(1)).withColumn("n_words", F.lit("x"))
+    df = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("pos", F.monotonically_increasing_id()).withColumn("spans", F.lit(1)).withColumn("n_words", F.lit("x")).withColumn("Text_Hash", F.lit(2)).withColumn("text_spans", F.lit("y"))
     got = substring_dedup.remove_repeats(df.repartition(3), window).orderBy("pos").collect()
     assert [list(r.kept_words) for r in got] == _kept(texts, window)
     assert [r.n_words for r in got] == [len(words_of(t)) for t in texts] and all(r.n_words - r.n_removed == len(r.kept_words) for r in got)

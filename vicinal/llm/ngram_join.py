@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .runtime import materialise, remove
+from .runtime import fresh, materialise, remove
 from .textkit import Words, gram_hashes, mix64, slices, unique_per_doc
 
 #: One shingle in so many by which samples are longer than a plain prefix.
@@ -299,5 +299,6 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     id go if one of them belongs to another id's component. Columns are those of
     docs.
     """
-    found = components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_vn_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_vn_id"), "left_anti")
+    gone = fresh(docs, "gone_id")
+    found = components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, F.col("doc_id") == F.col(gone), "left_anti")

@@ -66,6 +66,14 @@ def remove(*tables: DataFrame) -> None:
         t.unpersist()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of df's size in bytes; 0 where it has none."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

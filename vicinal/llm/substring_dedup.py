@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import estimated_bytes, materialise, parallelism, remove
+from .runtime import estimated_bytes, fresh, materialise, parallelism, remove
 from .textkit import Words, buffer_of, mix64, run_hashes, slices
 
 #: Words of a minimiser.
@@ -269,19 +269,20 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     windows go. Columns of docs with the names of the new ones are replaced.
     """
     docs = docs.drop("kept_words", "n_words", "n_removed")
-    keyed = docs.withColumn("_vk_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    keys = (id_col, "_vk_text")
-    spans = repeated_windows(keyed, window, keys, text_col).groupBy(*keys).agg(F.collect_list("spans").alias("_vk_spans"))
-    on = F.col(f"l.{id_col}").eqNullSafe(F.col(f"r.{id_col}")) & (F.col("l._vk_text") == F.col("r._vk_text"))
-    both = keyed.alias("l").join(spans.alias("r"), on, "left").select("l.*", "r._vk_spans").drop("_vk_text")
-    return both.mapInArrow(_removal(window, text_col, [f.name for f in both.schema]), _removed_schema(docs))
+    hashed, found = fresh(docs, "text_hash"), fresh(docs, "text_spans")
+    keyed = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    keys = (id_col, hashed)
+    spans = repeated_windows(keyed, window, keys, text_col).groupBy(*keys).agg(F.collect_list("spans").alias(found))
+    on = F.col(f"l.{id_col}").eqNullSafe(F.col(f"r.{id_col}")) & (F.col(f"l.{hashed}") == F.col(f"r.{hashed}"))
+    both = keyed.alias("l").join(spans.alias("r"), on, "left").select("l.*", f"r.{found}").drop(hashed)
+    return both.mapInArrow(_removal(window, text_col, found, [f.name for f in both.schema]), _removed_schema(docs))
 
 
 def _removed_schema(docs: DataFrame):
     return docs.select("*", F.array(F.lit("")).alias("kept_words"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed")).schema
 
 
-def _removal(window: int, text_col: str, names: list[str]):
+def _removal(window: int, text_col: str, found: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -290,7 +291,7 @@ def _removal(window: int, text_col: str, names: list[str]):
                 words = Words(buf, offs)
                 n = len(words.starts)
                 cover = np.zeros(n + 1, np.int64)
-                for i, packed in enumerate(batch.column("_vk_spans").to_pylist()):
+                for i, packed in enumerate(batch.column(found).to_pylist()):
                     if packed:
                         pairs = np.frombuffer(b"".join(packed), "<i8").reshape(-1, 2) + words.bounds[i]
                         np.add.at(cover, pairs[:, 0], 1)
@@ -302,7 +303,7 @@ def _removal(window: int, text_col: str, names: list[str]):
                 raw = buf.tobytes()
                 values = pa.array([raw[s:e] for s, e in zip(words.starts[kept].tolist(), words.ends[kept].tolist(), strict=True)], pa.binary()).cast(pa.string())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(total - removed)]).astype(np.int32)), values)
-                left = [c for c, k in zip(batch.columns, names, strict=True) if k != "_vk_spans"]
-                yield pa.RecordBatch.from_arrays([*left, lists, pa.array(total), pa.array(removed)], [*(k for k in names if k != "_vk_spans"), "kept_words", "n_words", "n_removed"])
+                left = [c for c, k in zip(batch.columns, names, strict=True) if k != found]
+                yield pa.RecordBatch.from_arrays([*left, lists, pa.array(total), pa.array(removed)], [*(k for k in names if k != found), "kept_words", "n_words", "n_removed"])
 
     return run
