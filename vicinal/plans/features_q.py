@@ -191,8 +191,8 @@ ROUTER, LISTS, PROBES = (14, 64, 64, 3), 16, 8
  SELECT k AS tx_id, malformed, slow, fraud_count, fraud_count < 3 AS approved, fraud_count / 5e0 AS fraud_score FROM r""")
 def score_requests(spark, d):
     """The service end to end: JSON bodies, features, the 14-64-64-3 router, the index for what it leaves open, verdicts."""
-    made = written(C.routed(bodies(spark, d).withColumnRenamed("id", "key"), N.Mlp.literal(ROUTER).udf(), TAU))
-    return C.verdicts(made, *index(spark, d, refs14, LISTS), 5, PROBES).withColumn("key", F.col("key").cast("long")).withColumnRenamed("key", "tx_id")
+    made = C.routed(bodies(spark, d).withColumnRenamed("id", "key"), N.Mlp.literal(ROUTER).udf(), TAU)
+    return C.verdicts(made, *index(spark, d, refs14, LISTS), 5, PROBES, keep=written).withColumn("key", F.col("key").cast("long")).withColumnRenamed("key", "tx_id")
 
 
 @query("feasibility")
