@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features
@@ -19,26 +17,15 @@ def routed(bodies: DataFrame, router, tau: float = 0.5) -> DataFrame:
     return made.select("key", "malformed", "q", "p", (~F.col("malformed") & (F.col("p")[2] > tau)).alias("slow"))
 
 
-def _row(key: str = "key") -> Column:
-    """A name of a request: requests of one key have one verdict only if their vectors agree."""
-    return F.concat_ws("/", F.col(key).cast("string"), F.hex(F.xxhash64("q")))
-
-
-def verdicts(made: DataFrame, postings: DataFrame, centroids: DataFrame, k: int = 5, nprobe: int = 16, keep: Callable[[DataFrame], DataFrame] = lambda made: made) -> DataFrame:
+def verdicts(made: DataFrame, postings: DataFrame, centroids: DataFrame, k: int = 5, nprobe: int = 16, pieces: list | None = None) -> DataFrame:
     """key, malformed, slow, fraud_count, approved, fraud_score of every row of what `routed` made.
 
     Malformed bodies are approved with a count of 0. The index is only searched
-    for rows that the router takes for boundary. A small index goes to the rows,
-    of which none moves. A larger one is joined; made is then needed twice, which
-    is what keep is for, and repeated keys are told apart by their vectors.
+    for rows that the router takes for boundary. It goes to the rows, of which
+    none moves, whole or in pieces (those of `ivf.pieces`, if they are at hand).
     """
     fast = F.when(F.col("p")[0] > F.col("p")[1], 0).otherwise(k)
     count = F.when(F.col("malformed"), 0).when(F.col("slow"), F.coalesce("votes", F.lit(0))).otherwise(fast).cast("int")
-    if index := ivf.held(postings, centroids):
-        both = made.withColumn("votes", ivf.votes(index, k, nprobe)(F.when(F.col("slow"), F.col("q"))))
-    else:
-        named = keep(made).withColumn("id", _row())
-        asked = named.where("slow").select("id", "q").dropDuplicates(["id"])
-        found = knn.vote(ivf.search(asked, postings, centroids, k, nprobe, exclude_self=False)).select(F.col("query_id").alias("id"), F.col("fraud_count").alias("votes"))
-        both = named.join(found, "id", "left")
+    index = ivf.pieces(postings, centroids) if pieces is None else pieces
+    both = made.withColumn("votes", ivf.votes(index, k, nprobe)(F.when(F.col("slow"), F.col("q"))))
     return knn.verdict(both.select("key", "malformed", "slow", count.alias("fraud_count")), k)

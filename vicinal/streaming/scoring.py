@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import cascade
+from ..operators import cascade, ivf
 
 
 def routed_verdicts(bodies: DataFrame, postings: DataFrame, centroids: DataFrame, router, tau: float = 0.5, k: int = 5, nprobe: int = 16) -> DataFrame:
@@ -29,10 +29,12 @@ def start_scoring(stream: DataFrame, path: str, checkpoint: str, postings: DataF
     the verdicts are written.
     """
 
+    index = ivf.pieces(postings, centroids)
+
     def write(batch: DataFrame, number: int) -> None:
         made = cascade.routed(batch, router, tau).persist()
         try:
-            cascade.verdicts(made, postings, centroids, k, nprobe).select("key", "fraud_count", "approved", "fraud_score").write.mode("overwrite").parquet(f"{path}/batch={number}")
+            cascade.verdicts(made, postings, centroids, k, nprobe, index).select("key", "fraud_count", "approved", "fraud_score").write.mode("overwrite").parquet(f"{path}/batch={number}")
         finally:
             made.unpersist()
 
